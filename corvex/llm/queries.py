@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvex.llm import bpe
+from corvex.llm import bpe, packing, secrets
 from corvex.llm._common import table
 
 
@@ -12,7 +12,15 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_bpe": op1_bpe}
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digests(table(spark, sf_dir, "documents"))
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op3_secrets": op3_secrets}
 
 #: DuckDB SQL of those that SQL can express.
 ORACLE: dict[str, str] = {}
