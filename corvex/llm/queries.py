@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvex.llm import bpe, line_dedup, packing, quality, secrets, token_files
+from corvex.llm import bpe, line_dedup, near_dup, packing, quality, secrets, token_files
 from corvex.llm._common import table
 
 
@@ -20,6 +20,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(table(spark, sf_dir, "documents"))
 
 
+def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.classes(table(spark, sf_dir, "documents"), words=4)
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(table(spark, sf_dir, "documents"))
 
@@ -32,7 +36,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op3_secrets": op3_secrets, "op5_line_dedup": op5_line_dedup, "op6_token_files": op6_token_files, "op10_quality": op10_quality}
+QUERIES = {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op3_secrets": op3_secrets, "op4_near_dup": op4_near_dup, "op5_line_dedup": op5_line_dedup, "op6_token_files": op6_token_files, "op10_quality": op10_quality}
 
 #: DuckDB SQL of those that SQL can express.
 ORACLE: dict[str, str] = {"op5_line_dedup": line_dedup.digests_sql()}
