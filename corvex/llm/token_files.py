@@ -202,7 +202,7 @@ def write(docs: DataFrame, folder: str | None = None, path: str | None = None, *
         for batch in batches:
             for some in slices(batch):
                 if out is None:
-                    out = fs.open_output_stream(f"{inner}/{name}")
+                    out = fs.open_output_stream(f"{inner}/{name}", compression=None)
                 found = some.column(0).to_pylist()
                 nulls += found.count(None)
                 ids.append(np.array([x or 0 for x in found], dtype="<i8"))
