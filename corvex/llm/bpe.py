@@ -11,6 +11,7 @@ token can cross, and the ids of short words are memoised in a table of bounded s
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 from collections.abc import Iterator
@@ -27,7 +28,7 @@ _BITS = 17
 _MASK = (1 << _BITS) - 1
 _NONE = 1 << 62
 #: Entries of a worker's table of words, and the longest word that enters it.
-MEMO_WORDS, MEMO_CHARS = 600_000, 40
+MEMO_WORDS, MEMO_CHARS = 1_000_000, 40
 
 
 def default_path(name: str = "word_bpe_49k.json") -> str:
@@ -239,6 +240,13 @@ class SegmentTreeBPE:
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as 32-bit integers. Words that the table lacks are merged together."""
+        gc.disable()  # it makes millions of strings and no cycles, which the collector would walk again and again
+        try:
+            return self._encode_many(texts)
+        finally:
+            gc.enable()
+
+    def _encode_many(self, texts: list[str]) -> list[bytes]:
         get = self.memo.get
         units, parts, lacking = [], [], {}
         for t in texts:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvex.llm import bpe, line_dedup, near_dup, packing, quality, secrets, token_files, warc
+from corvex.llm import ann, bpe, line_dedup, lm, near_dup, packing, quality, secrets, token_files, warc
 from corvex.llm._common import table
 
 
@@ -36,11 +36,19 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op3_secrets": op3_secrets, "op4_near_dup": op4_near_dup, "op5_line_dedup": op5_line_dedup, "op6_token_files": op6_token_files, "op7_warc": op7_warc, "op10_quality": op10_quality}
+QUERIES = {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op3_secrets": op3_secrets, "op4_near_dup": op4_near_dup, "op5_line_dedup": op5_line_dedup, "op6_token_files": op6_token_files, "op7_warc": op7_warc, "op8_lm_scores": op8_lm_scores, "op9_neighbours": op9_neighbours, "op10_quality": op10_quality}
 
 #: DuckDB SQL of those that SQL can express.
 ORACLE: dict[str, str] = {"op5_line_dedup": line_dedup.digests_sql(), "op7_warc": warc.round_trip_sql()}
