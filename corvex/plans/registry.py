@@ -1,6 +1,283 @@
-"""The queries of the engine's own operators, and their SQL."""
+"""The queries of the engine's own operators over the test tables, and the DuckDB SQL that each must agree with.
+
+An index of a table is built once for a session and then searched, as a user would.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corvex.config import IndexConfig
+from corvex.functions import highlight as marks
+from corvex.functions.analysis import accents, terms
+from corvex.functions.stopwords import STOP_WORDS
+from corvex.index import SearchIndex
+from corvex.operators import build
+from corvex.sources.files import scratch
+from corvex.sources.store import Store
+
+WIDE = 100_000  # wildcard terms at most, whatever the size of the tables
+
+CONFIGS = {
+    "documents": IndexConfig("documents", ("text",), key="doc_id", max_wildcard_term_expansion=WIDE),
+    "no_positions": IndexConfig("no_positions", ("text",), key="doc_id", proximity_index=False, phrase_threshold=1 << 30),
+    "pages": IndexConfig("pages", ("html",), key="page_id"),
+    "conversations": IndexConfig("conversations", ("role", "text"), key="key"),
+    "stop_en": IndexConfig("stop_en", ("text",), key="doc_id", stoplist=("en",)),
+}
+_built: dict[tuple[str, str, str], SearchIndex] = {}
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df.withColumn("key", F.concat_ws("-", "conv_id", "turn")) if name == "conversations" else df
+
+
+def index(spark: SparkSession, sf_dir: str, name: str = "documents") -> SearchIndex:
+    at = (spark.sparkContext.applicationId, sf_dir, name)
+    if at not in _built:
+        table = read(spark, sf_dir, name if name in ("pages", "conversations") else "documents")
+        ix = SearchIndex(spark, scratch(spark, name), CONFIGS[name]).initialize()
+        ix.set_source(table)
+        if name == "documents":
+            labels = read(spark, sf_dir, "labels")
+            ix.add_table(table)
+            ix.add_mask("good", labels.filter("quality = 1").select("doc_id"))
+            ix.add_mask("toxic", labels.filter("toxic = 1").select("doc_id"))
+            ix.add_mask("poor", labels.filter("quality = 0").select("doc_id"))
+        else:
+            ix.add_table(table)
+        _built[at] = ix
+    return _built[at]
+
+
+def fork(spark: SparkSession, sf_dir: str) -> SearchIndex:
+    """A copy of the index of documents that may be changed."""
+    path = scratch(spark, "fork")
+    index(spark, sf_dir).store.fork(path)
+    return SearchIndex(spark, path)
+
+
+# --- SQL -------------------------------------------------------------------------------------------------------------
+
+
+def _tokens_sql(text: str, html: bool = False, stop: tuple[str, ...] = (), length: int = 20) -> str:
+    text = f"regexp_replace(coalesce({text}, ''), '<[^\\n]*?>', ' ', 'g')"
+    if html:
+        for name, letter in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+            text = f"replace({text}, '&{name};', '{letter}')"
+    a, b = accents("iso-8859-1")
+    text = f"translate({text}, '{a}', '{b}')"
+    for letter, both in (("ß", "ss"), ("æ", "ae"), ("Æ", "ae"), ("œ", "oe"), ("Œ", "oe")):
+        text = f"replace({text}, '{letter}', '{both}')"
+    words = f"list_transform(string_split_regex(lower({text}), '[^a-z0-9]+'), lambda x: x[1:{length}])"
+    keep = "x <> ''" + (f" AND x NOT IN ({', '.join(repr(w) for w in stop)})" if stop else "")
+    return f"list_filter({words}, lambda x: {keep})"
+
+
+def _with(table: str = "documents", key: str = "doc_id", fields: tuple[str, ...] = ("text",), **how) -> str:
+    toks = " UNION ALL ".join(f"SELECT doc_id, doc_key, '{f}' AS field, {_tokens_sql(f, **how)} AS ts FROM docs" for f in fields)
+    return f"""WITH docs AS (SELECT row_number() OVER (ORDER BY {key}) AS doc_id, ({key})::VARCHAR AS doc_key, * EXCLUDE (doc_id) FROM (SELECT 0 AS doc_id, * {'EXCLUDE (doc_id)' if table == 'documents' else ''}{', doc_id AS own' if table == 'documents' else ''} FROM {table}) t),
+toks AS ({toks}),
+flat AS (SELECT doc_id, doc_key, field, unnest(ts) AS term, generate_subscripts(ts, 1) AS pos FROM toks),
+post AS (SELECT field, term, doc_id, doc_key, count(*)::BIGINT AS tf, list(pos ORDER BY pos) AS positions FROM flat GROUP BY ALL),
+dw AS (SELECT field, doc_id, doc_key, len(ts)::BIGINT AS n_terms, round(1 + ln(len(ts) + 1), 5)::DOUBLE AS w_d FROM toks),
+st AS (SELECT field, term, count(*)::BIGINT AS df FROM post GROUP BY ALL),
+fs AS (SELECT field, sum(w_d) / (SELECT count(*) FROM docs) AS avg_w FROM dw GROUP BY field)
+"""
+
+
+DOCS = _with(key="own")
+CONV = _with("conversations", "concat_ws('-', conv_id, turn)", ("role", "text"))
+
+
+def _has(*terms_: str, field: str = "text") -> str:
+    return f"doc_id IN (SELECT doc_id FROM post WHERE field = '{field}' AND term IN ({', '.join(repr(t) for t in terms_)}))"
+
+
+def _phrase(*words: str, slop: int = 1, field: str = "text") -> str:
+    tables = ", ".join(f"flat f{i}" for i in range(len(words)))
+    on = [f"f{i}.term = '{w}' AND f{i}.field = '{field}'" for i, w in enumerate(words)]
+    on += [f"f{i}.doc_id = f{i - 1}.doc_id AND f{i}.pos > f{i - 1}.pos AND f{i}.pos <= f{i - 1}.pos + {slop}" for i in range(1, len(words))]
+    return f"doc_id IN (SELECT f0.doc_id FROM {tables} WHERE {' AND '.join(on)})"
+
+
+def _found(where: str, with_: str = DOCS) -> str:
+    return f"{with_} SELECT doc_key FROM docs WHERE {where}"
+
+
+def _scored(where: str, scored: dict[tuple[str, str], int], with_: str = DOCS, n: str = "(SELECT count(*) FROM docs)", avg: str = "fs", df: dict[tuple[str, str], str] | None = None, tail: str = "") -> str:
+    q = ", ".join(f"('{f}', '{t}', {c}, {(df or {}).get((f, t), 'NULL')})" for (f, t), c in scored.items())
+    return f"""{with_}, q AS (SELECT field, term, c, coalesce(d, df) AS df FROM (VALUES {q}) v(field, term, c, d) JOIN st USING (field, term)),
+w AS (SELECT field, term, ln(({n} - df + 0.5) / (df + 0.5)) AS idf, 8.0 * c / (7.0 + c) AS wq FROM q WHERE ({n} - df + 0.5) / (df + 0.5) > 0)
+SELECT doc_key, round(sum(idf * wq * 2.2 * tf / (1.2 * (0.25 + 0.75 * w_d / avg_w) + tf)), 6)::DOUBLE AS score
+FROM post JOIN w USING (field, term) JOIN dw USING (field, doc_id, doc_key) JOIN {avg} USING (field)
+WHERE idf >= -1.8 AND {where} GROUP BY doc_key{tail}"""
+
+
+# --- queries ---------------------------------------------------------------------------------------------------------
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
+
+
+def _add(name: str, run: Query, sql: str) -> None:
+    QUERIES[name], ORACLE[name] = run, sql
+
+
+def _unscored(name: str, query: dict[str, str] | str, where: str, *, on: str = "documents", with_: str = DOCS, **masks) -> None:
+    q = {"text": query} if isinstance(query, str) else query
+    _add(name, lambda s, d: index(s, d, on).find(q, scored=False, **masks).select("doc_key"), _found(where, with_))
+
+
+def _rounded(found: DataFrame) -> DataFrame:
+    return found.select("doc_key", F.round("score", 6).alias("score"))
+
+
+def _ranked(name: str, query: dict[str, str] | str, where: str, scored: dict, *, on: str = "documents", k: int | None = None, **sql) -> None:
+    q = {"text": query} if isinstance(query, str) else query
+    _add(name, lambda s, d: _rounded(index(s, d, on).find(q, k=k)), _scored(where, scored, tail=f" ORDER BY score DESC, doc_key LIMIT {k}" if k else "", **sql))
+
+
+def _analysed(name: str, config: IndexConfig, table: str, column: str, sql: str) -> None:
+    """The terms of a table by an analysis, with document frequency, occurrences and sum of places."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = read(spark, sf_dir, table).select(F.col("page_id" if table == "pages" else "doc_id").alias("i"), F.posexplode(terms(F.col(column), config)).alias("pos", "term"))
+        each = rows.groupBy("term", "i").agg(F.count(F.lit(1)).alias("tf"), F.sum(F.col("pos") + 1).alias("at"))
+        return each.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.sum("at").alias("places"))
+
+    _add(name, run, f"{sql} SELECT term, count(*)::BIGINT AS df, sum(tf)::BIGINT AS cf, sum(list_sum(positions))::BIGINT AS places FROM post GROUP BY term")
+
+
+_plain = IndexConfig("plain", ("text",), key="doc_id")
+_analysed("tokenize_terms", _plain, "documents", "text", DOCS)
+_analysed("max_word_truncation", _plain.with_(max_word_length=5), "documents", "text", _with(key="own", length=5))
+_analysed("stopword_en_terms", _plain.with_(stoplist=("en",)), "documents", "text", _with(key="own", stop=tuple(sorted(STOP_WORDS["en"]))))
+_analysed("stopword_cz_terms", _plain.with_(stoplist=("cz",)), "documents", "text", _with(key="own", stop=tuple(sorted(STOP_WORDS["cz"]))))
+_analysed("html_strip_terms", IndexConfig("p", ("html",), decode_html_entities=False), "pages", "html", _with("pages", "page_id", ("html",)))
+_analysed("html_entity_terms", IndexConfig("p", ("html",)), "pages", "html", _with("pages", "page_id", ("html",), html=True))
+
+_add(
+    "term_positions",
+    lambda s, d: index(s, d).tables().postings.join(index(s, d).tables().docs, "doc_id").groupBy("doc_key").agg(F.count(F.lit(1)).alias("n_terms"), F.sum(F.aggregate("positions", F.lit(0).cast("long"), lambda a, x: a + x)).alias("places")),
+    f"{DOCS} SELECT doc_key, count(*)::BIGINT AS n_terms, sum(list_sum(positions))::BIGINT AS places FROM post GROUP BY doc_key",
+)
+_add(
+    "term_freqs",
+    lambda s, d: index(s, d).tables().postings.groupBy("field", "term").agg(F.sum("tf").alias("cf"), F.max("tf").cast("long").alias("most")),
+    f"{DOCS} SELECT field, term, sum(tf)::BIGINT AS cf, max(tf)::BIGINT AS most FROM post GROUP BY ALL",
+)
+_add("term_doc_freq", lambda s, d: index(s, d).tables().term_stats.select("field", "term", "df"), f"{DOCS} SELECT field, term, df FROM st")
+_add(
+    "doc_weights",
+    lambda s, d: index(s, d).tables().doc_weights.join(index(s, d).tables().docs, "doc_id").select("doc_key", F.col("n_terms").cast("long").alias("n_terms"), "w_d"),
+    f"{DOCS} SELECT doc_key, n_terms, w_d FROM dw",
+)
+_add(
+    "field_avg_weight",
+    lambda s, d: s.createDataFrame([(k, round(v, 6)) for k, v in sorted(index(s, d, "conversations").tables().averages.items())], "field string, avg_w_d double"),
+    f"{CONV} SELECT field, round(avg_w, 6)::DOUBLE AS avg_w_d FROM fs",
+)
+_add("total_words", lambda s, d: index(s, d).tables().term_stats.agg(F.sum("df").alias("total_words")), f"{DOCS} SELECT sum(df)::BIGINT AS total_words FROM st")
+
+_unscored("search_term", "that", _has("that"))
+_unscored("search_and", "that AND with", f"{_has('that')} AND {_has('with')}")
+_unscored("search_or", "und OR les", f"{_has('und')} OR {_has('les')}")
+_unscored("search_not", "+that -with", f"{_has('that')} AND NOT {_has('with')}")
+_unscored("search_not_only", "-that", "false")
+_unscored("search_nested", "+that +(with from)", f"{_has('that')} AND ({_has('with')} OR {_has('from')})")
+_unscored("search_left_assoc_and_or", "und AND der OR les", f"({_has('und')} AND {_has('der')}) OR {_has('les')}")
+_unscored("search_left_assoc_or_and", "les OR und AND der", f"({_has('les')} OR {_has('und')}) AND {_has('der')}")
+_unscored("search_implicit_and_2", "that with", f"{_has('that')} AND {_has('with')}")
+_rare = "(SELECT term FROM st WHERE term IN ({0}) ORDER BY df, list_position([{0}], term) LIMIT {1})"
+
+
+def _implicit(words: list[str], must: int) -> str:
+    """The rarest words must be there, and one of the others."""
+    quoted = ", ".join(f"'{w}'" for w in words)
+    rare = _rare.format(quoted, must)
+    return f"""doc_id IN (SELECT doc_id FROM post WHERE term IN {rare} GROUP BY doc_id HAVING count(*) = {must})
+AND doc_id IN (SELECT doc_id FROM post WHERE term IN ({quoted}) AND term NOT IN {rare})"""
+
+
+_unscored("search_implicit_and_4", "und der die das", _implicit(["und", "der", "die", "das"], 2))
+_unscored("search_implicit_and_5", "les des que pour dans", _implicit(["les", "des", "que", "pour", "dans"], 3))
+_unscored("search_phrase", '"with the"', _phrase("with", "the"))
+_unscored("search_phrase_3", '"to the of"~2', _phrase("to", "the", "of", slop=2))
+_unscored("search_proximity_3", '"with the"~3', _phrase("with", "the", slop=3))
+_unscored("search_implicit_phrase", "with-the", _phrase("with", "the"))
+_unscored("search_plural", "le+", _has("le", "les"))
+_unscored("search_wild_star", "witha*", "doc_id IN (SELECT doc_id FROM post WHERE term LIKE 'witha%')")
+_unscored("search_wild_question", "th?t", "doc_id IN (SELECT doc_id FROM post WHERE term LIKE 'th_t')")
+_unscored("search_wild_middle", "que*x", "doc_id IN (SELECT doc_id FROM post WHERE term LIKE 'que%x')")
+_unscored("search_leading_or_not", "-that OR with", f"NOT {_has('that')} OR {_has('with')}")
+_unscored("search_inline_field", {"text": "+that +role:user"}, f"{_has('that')} AND {_has('user', field='role')}", on="conversations", with_=CONV)
+_unscored("search_multi_field_union", {"role": "system", "text": "with"}, f"{_has('system', field='role')} OR {_has('with')}", on="conversations", with_=CONV)
+_unscored("search_stop_words", "the thing", _has("thing"), on="stop_en", with_=_with(key="own", stop=tuple(sorted(STOP_WORDS["en"]))))
+_a, _b = accents("iso-8859-1")
+_unscored("phrase_like_scan", '"with the"', f"{_has('with')} AND {_has('the')} AND contains(lower(replace(translate(text, '{_a}', '{_b}'), 'ß', 'ss')), 'with the')", on="no_positions")
+
+_good, _toxic, _poor = (f"doc_key IN (SELECT doc_id::VARCHAR FROM labels WHERE {c})" for c in ("quality = 1", "toxic = 1", "quality = 0"))
+_unscored("mask_and", "that", f"{_has('that')} AND {_good}", and_mask=["good"])
+_unscored("mask_not", "that", f"{_has('that')} AND NOT {_toxic}", not_mask=["toxic", "no such mask"])
+_unscored("mask_or", "that", f"{_has('that')} AND ({_toxic} OR {_poor})", or_mask=["toxic", "poor"])
+_unscored("mask_or_set", "that", f"{_has('that')} AND ({_good} OR {_poor}) AND {_toxic}", or_mask_set=[["good", "poor"], ["toxic"]])
+
+_ranked("bm25_single", "und", _has("und"), {("text", "und"): 1})
+_ranked("bm25_multi", "that with", f"{_has('that')} AND {_has('with')}", {("text", "that"): 1, ("text", "with"): 1})
+_ranked("bm25_repeated_query_term", "und und der", f"{_has('und')} AND {_has('der')}", {("text", "und"): 2, ("text", "der"): 1})
+_ranked("bm25_topk", "that with from", f"{_has('that')} AND {_has('with')} AND {_has('from')}", {("text", "that"): 1, ("text", "with"): 1, ("text", "from"): 1}, k=20)
+_ranked("bm25_idf_cutoff", {"html": "margin"}, _has("margin", field="html"), {("html", "margin"): 1}, on="pages", with_=_with("pages", "page_id", ("html",), html=True))
+_ranked("bm25_plural", "le+", _has("le", "les"), {("text", "le"): 1, ("text", "les"): 1}, df={("text", "le"): "(SELECT floor(avg(df))::BIGINT FROM st WHERE term IN ('le', 'les'))"})
+_ranked("bm25_phrase", '"with the"', _phrase("with", "the"), {("text", "with"): 1, ("text", "the"): 1})
+_ranked("bm25_multi_field", {"role": "assistant", "text": "with"}, f"({_has('assistant', field='role')} OR {_has('with')})", {("role", "assistant"): 1, ("text", "with"): 1}, on="conversations", with_=CONV)
+
+
+def _removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ix = fork(spark, sf_dir)
+    ix.remove_table(read(spark, sf_dir, "labels").filter("toxic = 1"), "doc_id")
+    return _rounded(ix.find({"text": "that with"}))
+
+
+_both = f"{_has('that')} AND {_has('with')}"
+_add("remove_then_search", _removed, _scored(f"{_both} AND NOT {_toxic}", {("text", "that"): 1, ("text", "with"): 1}))
+
+_NEW = "these are other words, that come with it"
+
+
+def _upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ix = fork(spark, sf_dir)
+    ix.add_table(read(spark, sf_dir, "labels").filter("quality = 0").select("doc_id", F.lit(_NEW).alias("text")))
+    return _rounded(ix.find({"text": "that with"}))
+
+
+_old = "SELECT own, text, true AS dead FROM (SELECT doc_id AS own, text FROM documents) WHERE own IN (SELECT doc_id FROM labels WHERE quality = 0)"
+_union = f"(SELECT doc_id AS own, text, doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) AS dead, 0 AS batch FROM documents UNION ALL SELECT doc_id, '{_NEW}', false, 1 FROM labels WHERE quality = 0 AND doc_id IN (SELECT doc_id FROM documents))"
+_upsert_with = (
+    f"""WITH docs AS (SELECT row_number() OVER (ORDER BY batch, own) AS doc_id, own::VARCHAR AS doc_key, text, dead FROM {_union} t),"""
+    + DOCS[DOCS.index("\ntoks AS") :].replace("sum(w_d) / (SELECT count(*) FROM docs) AS avg_w FROM dw GROUP", "sum(w_d) FILTER (doc_id NOT IN (SELECT doc_id FROM docs WHERE dead)) / (SELECT count(*) FROM docs) AS avg_w FROM dw GROUP")
+)
+_add("upsert_then_search", _upserted, _scored(f"{_both} AND doc_id NOT IN (SELECT doc_id FROM docs WHERE dead)", {("text", "that"): 1, ("text", "with"): 1}, with_=_upsert_with))
+
+
+def _optimized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ix = fork(spark, sf_dir)
+    ix.remove_table(read(spark, sf_dir, "labels").filter("quality = 0"), "doc_id")
+    ix.optimize()
+    return ix.tables().term_stats.select("term", "df")
+
+
+_add("optimize_term_stats", _optimized, f"{DOCS} SELECT term, count(*)::BIGINT AS df FROM post WHERE NOT {_poor} GROUP BY term")
+_add("indexed_lookup", lambda s, d: index(s, d).doc_ids(read(s, d, "labels").select(F.col("doc_id").alias("doc_key"))).select("doc_key", "doc_id"), f"{DOCS} SELECT doc_key, doc_id FROM docs WHERE doc_key IN (SELECT doc_id::VARCHAR FROM labels)")
+_add("last_indexed_key", lambda s, d: s.createDataFrame([(index(s, d).last_indexed_key(), index(s, d).max_indexed_id())], "doc_key string, max_id long"), "SELECT max(doc_id)::VARCHAR AS doc_key, count(*)::BIGINT AS max_id FROM documents")
+_add("all_doc_ids", lambda s, d: index(s, d).all_doc_ids().select("doc_id", "doc_key"), f"{DOCS} SELECT doc_id, doc_key FROM docs")
+_add(
+    "highlight_terms",
+    lambda s, d: read(s, d, "documents").select("doc_id", marks.count(F.col("text"), ["that", "with"]).cast("long").alias("marked"), F.md5(marks.highlight(F.col("text"), ["that", "with"])).alias("digest")),
+    r"SELECT doc_id, len(regexp_extract_all(text, '(?i)\b(that|with)\b'))::BIGINT AS marked, md5(regexp_replace(text, '(?i)\b(that|with)\b', '<b><u>\1</u></b>', 'g')) AS digest FROM documents",
+)
