@@ -1,28 +1,22 @@
-"""Words too common to search for, by language; grouped by length."""
+"""Words too common to search for, by language."""
 
 from __future__ import annotations
 
-_EN = (
-    "because|"
-    "should|"
-    "about|their|after|other|which|whose|those|these|there|would|could|"
-    "many|only|they|most|last|that|says|thus|miss|this|over|into|also|when|been|than|from|them|will|with|such|much|have|more|were|some|like|"
-    "any|you|out|but|not|its|mrs|his|was|has|for|her|too|who|can|all|are|one|the|she|and|had|"
-    "my|by|it|at|us|ms|is|as|or|mr|up|to|so|no|on|in|an|of|if|we|me|he|be|"
-    "s|i|a|"
-)
+# The lists that results must agree with, in alphabetical order. The Czech words have no diacritics.
+ENGLISH = """
+a about after all also an and any are as at be because been but by can could for from had has have he her his i if in
+into is it its last like many me miss more most much mr mrs ms my no not of on one only or other out over s says she
+should so some such than that the their them there these they this those thus to too up us was we were when which who
+whose will with would you
+"""
+CZECH = """
+a aniz ano at az bude budu by bych bychom byl byla bylo bysme co do i ja je jeho jeji jejich jejim jemu ji jim jsem jsi
+jsou k kam komu ma maji mam mel mela meli me mi mit moci mohl moje mu musel muset nac nam nas nase nasemu nasich nasim ne
+nem nich o od on ona ono presto pro proc proto protoze s se snad te tebe tem ti ty u v vam vas vase vasemu vasich vasim
+vedel vedeli vedet vi vim vis z za ze
+"""
 
-_CZ = (
-    "protoze|"
-    "vasemu|nasemu|presto|bychom|vedeli|vasich|nasich|jejich|"
-    "muset|vedet|proto|vasim|nasim|jejim|musel|vedel|bysme|"
-    "aniz|jsou|komu|jemu|budu|bylo|jeho|jsem|mohl|meli|jeji|maji|moci|bych|nich|vase|nase|moje|bude|tebe|snad|proc|byla|mela|"
-    "mit|vis|vas|nas|pro|ono|ano|vim|jim|tem|nem|vam|nam|mam|kam|byl|mel|jsi|nac|ona|"
-    "az|ty|by|mu|at|do|co|on|vi|ti|mi|ji|ze|te|se|ne|me|je|od|za|ma|ja|"
-    "z|v|u|s|o|k|i|a|"
-)
-
-STOP_WORDS: dict[str, frozenset[str]] = {name: frozenset(filter(None, raw.split("|"))) for name, raw in (("en", _EN), ("cz", _CZ))}
+STOP_WORDS: dict[str, frozenset[str]] = {"en": frozenset(ENGLISH.split()), "cz": frozenset(CZECH.split())}
 
 
 def stop_words(names: tuple[str, ...]) -> frozenset[str]:
