@@ -10,7 +10,9 @@ its squared Mahalanobis distance exceeds ``CUTOFF``. Every statistic covers the
 of such a group would be zero and any deviation an outlier. Groups of fewer than ``LEAST`` documents are judged with
 all such groups of their language together, and if those are too few as well, by the base rules alone.
 
-Groups are only ever aggregated, with partial sums before each shuffle; no group is gathered anywhere.
+Groups are only ever aggregated, with partial sums before each shuffle; no group is gathered anywhere. Estimates, a row
+for each group, are broadcast if they are counted to be at most ``GROUPS``; beyond that the join is salted, so that a
+group with a third of all documents is dealt to ``SALTS`` tasks.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ CHI2_MEDIAN = 4.351
 FEATURES = ("x0", "x1", "x2", "x3", "x4")
 FLOORS = (0.3, 0.08, 0.06, 0.15, 0.15)
 D = len(FEATURES)
+#: Groups whose estimates (some 200 bytes each) are broadcast, at most; parts of each group beyond that.
+GROUPS, SALTS = 20_000, 64
 
 
 def let(value: Column, body) -> Column:
@@ -113,9 +117,18 @@ def _sums() -> list[Column]:
     return [F.count(F.lit(1)).alias("c"), *(F.sum(FEATURES[i]).alias(f"s_{i}") for i in range(D)), *(F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"s_{i}_{j}") for i in range(D) for j in range(i + 1))]
 
 
-def _distance(points: DataFrame, fit: DataFrame) -> DataFrame:
+def _matched(points: DataFrame, fit: DataFrame, small: bool, how: str = "inner") -> DataFrame:
+    """points joined with the row of their group."""
+    if small:
+        return points.join(F.broadcast(fit), "g", how)
+    dealt = points.withColumn("salt", F.pmod(F.xxhash64("doc_id", *FEATURES), F.lit(SALTS)))
+    each = fit.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return dealt.join(each, ["g", "salt"], how).drop("salt")
+
+
+def _distance(points: DataFrame, fit: DataFrame, small: bool) -> DataFrame:
     """points with their squared distance d2 under the estimate of their group."""
-    out = points.join(fit, "g")
+    out = _matched(points, fit, small)
     total = F.lit(0.0)
     for i in range(D):
         rest = F.col(FEATURES[i]) - F.col(f"m{i}")
@@ -137,24 +150,26 @@ def judge(stats: DataFrame, *, cutoff: float = CUTOFF, support: float = SUPPORT,
     Null languages and sources are values of their own. An empty table gives an empty one.
     """
     name = F.concat_ws("\x1f", F.coalesce("lang", F.lit("\x00")), F.coalesce("source", F.lit("\x00")))
-    points = _features(stats).withColumn("own", name)
-    sizes = points.filter(~F.col("base_failed")).groupBy("own").agg(F.count(F.lit(1)).alias("members"))
-    points = points.join(sizes, "own", "left").withColumn("g", F.when(F.coalesce("members", F.lit(0)) >= least, F.col("own")).otherwise(F.concat(F.coalesce("lang", F.lit("\x00")), F.lit("\x1f\x1f")))).drop("own", "members")
-    points = stage(points, "quality-points")
+    points = _features(stage(stats, "quality-statistics")).withColumn("g", name)
+    members = stage(points.filter(~F.col("base_failed")).groupBy("g").agg(F.count(F.lit(1)).alias("members")), "quality-members")
+    rest = F.concat(F.coalesce("lang", F.lit("\x00")), F.lit("\x1f\x1f"))
+    points = _matched(points, members, members.count() <= GROUPS, "left")
+    points = stage(points.withColumn("g", F.when(F.coalesce("members", F.lit(0)) >= least, F.col("g")).otherwise(rest)).drop("members"), "quality-points")
     clean = points.filter(~F.col("base_failed"))
 
     middle = clean.groupBy("g").agg(F.count(F.lit(1)).alias("c"), *(_quantile(x, 0.5).alias(f"m{i}") for i, x in enumerate(FEATURES))).filter(F.col("c") >= least)
     middle = stage(middle.drop("c"), "quality-middle")
-    spread = clean.join(middle, "g").groupBy("g").agg(*(F.first(f"m{i}").alias(f"m{i}") for i in range(D)), *(_quantile(F.abs(F.col(x) - F.col(f"m{i}")), 0.5).alias(f"d{i}") for i, x in enumerate(FEATURES)))
+    small = middle.count() <= GROUPS
+    spread = _matched(clean, middle, small).groupBy("g").agg(*(F.first(f"m{i}").alias(f"m{i}") for i in range(D)), *(_quantile(F.abs(F.col(x) - F.col(f"m{i}")), 0.5).alias(f"d{i}") for i, x in enumerate(FEATURES)))
     zero = F.lit(0.0)
     fit = stage(spread.select("g", *(f"m{i}" for i in range(D)), *((F.sqrt((1.4826 * F.col(f"d{i}")) ** 2 + FLOORS[i] ** 2) if i == j else zero).alias(f"l{i}{j}") for i in range(D) for j in range(i + 1))), "quality-fit")
     for _ in range(steps):
-        near = stage(_distance(clean, fit).groupBy("g").agg(_quantile("d2", support).alias("edge")), "quality-edge")
-        fit = stage(_factor(_distance(clean, fit).join(near, "g").filter(F.col("d2") <= F.col("edge")).groupBy("g").agg(*_sums())), "quality-fit")
-    scale = _distance(clean, fit).groupBy("g").agg(F.greatest(F.lit(1.0), _quantile("d2", 0.5) / CHI2_MEDIAN).alias("scale"))
+        near = stage(_distance(clean, fit, small).groupBy("g").agg(_quantile("d2", support).alias("edge")), "quality-edge")
+        fit = stage(_factor(_matched(_distance(clean, fit, small), near, small).filter(F.col("d2") <= F.col("edge")).groupBy("g").agg(*_sums())), "quality-fit")
+    scale = _distance(clean, fit, small).groupBy("g").agg(F.greatest(F.lit(1.0), _quantile("d2", 0.5) / CHI2_MEDIAN).alias("scale"))
     fit = stage(fit.join(scale, "g"), "quality-fit")
-    out = _distance(points.join(fit.select("g", "scale"), "g"), fit.drop("scale")).withColumn("d2", F.col("d2") / F.col("scale"))
-    lone = points.join(fit.select("g"), "g", "left_anti").withColumn("d2", F.lit(None).cast("double"))
+    out = _matched(_distance(points, fit.drop("scale"), small), fit.select("g", "scale"), small).withColumn("d2", F.col("d2") / F.col("scale"))
+    lone = _matched(points, fit.select("g"), small, "left_anti").withColumn("d2", F.lit(None).cast("double"))
     out = out.select(*stats.columns, "d2").unionByName(lone.select(*stats.columns, "d2"))
     return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("d2") > cutoff, F.lit(False)))
 

@@ -68,3 +68,10 @@ def test_whole_rows_stay(spark):
     out = quality.keep(df)
     assert out.columns == df.columns
     assert got(out, "doc_id") == wanted([(r["doc_id"],) for r in quality.verdicts(df).filter("kept").collect()])
+
+
+def test_salted_joins_change_nothing(spark, monkeypatch):
+    stats = quality.statistics(frame(spark, mixed(random.Random(2))))
+    want = {r["doc_id"]: (r["d2"] and round(r["d2"], 9), r["kept"]) for r in quality.judge(stats).collect()}
+    monkeypatch.setattr(quality, "GROUPS", 0)
+    assert {r["doc_id"]: (r["d2"] and round(r["d2"], 9), r["kept"]) for r in quality.judge(stats).collect()} == want
