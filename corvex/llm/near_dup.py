@@ -10,28 +10,33 @@ Documents with one shingle set form a class, known by its smallest doc_id; only
 bucket of a band are never all made. Each round elects one leader in each bucket that still holds several components,
 another in each band and round, and pairs it with the members outside its component: as many pairs as members. Links
 found join components, and buckets of one component are done. After the rounds, buckets of up to ``SMALL`` members
-make all their pairs across components; larger ones are first cut up by each second band that members share, which a
-pair over the threshold passes many times over, and then take further rounds of leaders.
+make all their pairs across components. The members of larger ones are joined by exact prefixes instead: with shingles
+in one order for all, rare ones first, sets that reach the threshold share one of their first few, and drifting copies
+below it don't, as those are their own. Counts for the order are kept in ``SLOTS`` slots, whatever the corpus: any order
+finds every pair.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset
+import pyarrow.fs
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvex.llm._common import slices, stage, utf8
+from corvex.llm._common import fresh_path, slices, stage, utf8
 from corvex.llm.components import components
 
 M, ROWS = 252, 6
 BANDS = M // ROWS
 BASE, RATE, Q = 1.001, 20.0, (1 << 16) - 2
 WORDS, THRESHOLD = 5, 80
-ROUNDS, SMALL = 3, 48
+ROUNDS, SMALL, SLOTS = 3, 48, 1 << 20
 #: Below the threshold by five standard errors of the estimate.
 MARGIN = 5 * (0.8 * 0.2 / M) ** 0.5
 
@@ -182,12 +187,14 @@ def _leaders(members: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
 
 
 def _all_pairs(members: DataFrame, labels: DataFrame, small: int) -> DataFrame:
-    """All pairs across components in buckets of up to ``small`` members."""
+    """All pairs across components in buckets of up to ``small`` members, each in the first bucket that both are in."""
     m = members.join(labels, "rep")
     open_ = m.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("c")).filter(f"low != high and c <= {small}").select("key")
-    m = m.join(open_, "key")
-    other = m.select("key", F.col("rep").alias("b"), F.col("label").alias("other"))
-    return m.withColumnRenamed("rep", "a").join(other, "key").filter("a < b and label != other").select("a", "b").distinct()
+    m = stage(m.join(open_, "key"), "near-open")
+    m = m.join(m.groupBy("rep").agg(F.collect_set("key").alias("keys")), "rep")
+    a, b = (m.select("key", F.col("rep").alias(x), F.col("label").alias(f"label_{x}"), F.col("keys").alias(f"keys_{x}")) for x in "ab")
+    first = F.array_min(F.array_intersect("keys_a", "keys_b")) == a["key"]
+    return a.join(b, (a["key"] == b["key"]) & (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & first).select("a", "b")
 
 
 class _Search:
@@ -245,11 +252,7 @@ def classes(docs: DataFrame, *, words: int = WORDS, threshold: int = THRESHOLD)
         if not s.link(_leaders(s.members, s.labels, turn)):
             break
     s.link(_all_pairs(s.members, s.labels, SMALL))
-    s.members = _cut(s)
-    for turn in range(ROUNDS, 2 * ROUNDS):
-        if not s.link(_leaders(s.members, s.labels, turn)):
-            break
-    s.link(_all_pairs(s.members, s.labels, SMALL))
+    s.link(_by_prefixes(s))
 
     of_class = groups.join(s.labels, "rep", "left").select("hi", "lo", F.coalesce("label", "rep").alias("component_id"))
     out = sk.select("doc_id", "n_shingles", "hi", "lo").join(of_class, ["hi", "lo"], "left")
@@ -262,15 +265,61 @@ def _text_of(texts: DataFrame, inside: DataFrame) -> DataFrame:
     return texts.withColumnRenamed("doc_id", "rep").join(inside, "rep", "left_semi")
 
 
-def _cut(s: _Search) -> DataFrame:
-    """The members of large buckets with several components, dealt to buckets of two bands."""
+@lru_cache(maxsize=2)
+def _counts_at(path: str) -> np.ndarray:
+    fs, inner = pa.fs.FileSystem.from_uri(path)
+    found = pyarrow.dataset.dataset(inner, filesystem=fs, format="parquet", schema=pa.schema([("slot", pa.int64()), ("c", pa.int64())])).to_table()
+    out = np.zeros(SLOTS, np.int64)
+    out[found["slot"].to_numpy()] = found["c"].to_numpy()
+    return out
+
+
+def _by_prefixes(s: _Search) -> DataFrame:
+    """Pairs (a, b) across components, each once, that may reach the threshold, among members of large open buckets."""
+    words, threshold = s.words, s.threshold
     m = s.members.join(s.labels, "rep")
     large = m.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("c")).filter(f"low != high and c > {SMALL}").select("key")
-    m = stage(s.members.join(large, "key"), "near-large")
-    second = m.select(F.col("rep"), F.col("key").alias("key_2"))
-    both = m.join(second, "rep").filter("key < key_2").select(F.xxhash64("key", "key_2").alias("key"), "rep")
-    shared = both.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
-    return stage(both.join(shared, "key"), "near-members")
+    inside = s.members.join(large, "key").select("rep").distinct()
+    own = stage(s.texts.select("rep", "text").join(inside, "rep", "left_semi"), "near-dense")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for part in slices(batch):
+                for text in utf8(part.column(1)):
+                    total = np.zeros(SLOTS, np.int64) if total is None else total
+                    np.add.at(total, (shingles(text, words) & np.uint64(SLOTS - 1)).astype(np.int64), 1)
+        if total is not None:
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "c"])
+
+    path = fresh_path(own.sparkSession, "near-counts")
+    own.mapInArrow(count, "slot long, c long").groupBy("slot").agg(F.sum("c").alias("c")).write.mode("overwrite").parquet(path)
+
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = _counts_at(path)
+        for batch in batches:
+            for part in slices(batch):
+                rows = []
+                for rep, text in zip(part.column(0).to_pylist(), utf8(part.column(1)), strict=True):
+                    x = shingles(text, words)
+                    n = len(x)
+                    x = x[np.lexsort((x, counts[(x & np.uint64(SLOTS - 1)).astype(np.int64)]))]
+                    rows.append((rep, n, x[: n - -(-threshold * n // 100) + 1].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)], ["rep", "n", "first"])
+
+    heads = stage(own.mapInArrow(prefix, "rep long, n long, first array<long>").join(s.labels, "rep"), "near-prefixes")
+    tokens = heads.select("*", F.posexplode("first").alias("at", "token"))
+    # of each token, the component that most have: others are held against all, so that its own members make no pairs
+    most = tokens.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max_by("label", "c").alias("main"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("token", "main")
+    of = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("rep", "n", "at", "first", "label")]
+    a = tokens.join(most, "token").filter("label != main").select("token", "main", *of("a"))
+    b = tokens.select(F.col("token").alias("other"), *of("b"))
+    # the token is the first that both have; what stands before it in either set is not in the other
+    room = f"{100 + threshold} * least(n_a - at_a, n_b - at_b) >= {threshold} * (n_a + n_b)"
+    near = f"label_a != label_b and (label_b = main or rep_a < rep_b) and {room} and array_intersect(first_a, first_b)[0] = token"
+    pairs = a.join(b, (a["token"] == b["other"]) & F.expr(near))
+    return pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
 
 
 def keep(docs: DataFrame, *, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:

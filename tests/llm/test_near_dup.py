@@ -20,7 +20,7 @@ def test_awkward_documents(spark, k):
 
 
 def test_chains_and_large_groups_of_near_copies(spark, monkeypatch):
-    """Drifting copies, of which neighbours are linked alone, in buckets that are cut up."""
+    """Drifting copies, of which neighbours are linked alone, in buckets that are joined by prefixes."""
     monkeypatch.setattr(near_dup, "SMALL", 4)
     rng, rows = random.Random(9), []
     for chain in range(4):
