@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from corvex.llm._common import slices, stage, utf8
 
 FOLDS, HELD_OUT = 5, 1
-BLOCK_TOKENS = 1 << 20
+BLOCK_TOKENS = 1 << 19
 #: Tokens for each shard, about.
 SHARD_TOKENS = 1 << 21
 BUCKETS, STEPS_PER_OCTAVE, EM_ROUNDS = 40, 8, 200
@@ -57,14 +57,15 @@ def is_held_out(doc_id: int | None) -> bool:
 
 
 def _narrow(x: np.ndarray) -> bytes:
-    """An array of counts in the narrowest unsigned type, which its first byte tells."""
+    """An array of counts in the narrowest unsigned type, which its first byte tells, byte plane by byte plane."""
     top = int(x.max()) if x.size else 0
     size = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
-    return bytes([size]) + x.astype(f"<u{size}").tobytes()
+    return bytes([size]) + np.ascontiguousarray(x.astype(f"<u{size}").view(np.uint8).reshape(-1, size).T).tobytes()
 
 
 def _wide(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+    planes = np.frombuffer(raw, np.uint8, offset=1).reshape(raw[0], -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{raw[0]}").ravel().astype(np.int64)
 
 
 def _pack(sorted_: np.ndarray) -> bytes:
@@ -103,7 +104,7 @@ def blocks(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
                 "missing": [np.array([i is None for i in ids]).tobytes()],
                 "sizes": [np.array([len(a) for a in arrays], "<i8").tobytes()],
                 "train": [np.array([not is_held_out(i) for i in ids]).tobytes()],
-                "vocab": [h[order].tobytes()],
+                "vocab": [_pack(h[order])],
                 "tokens": [_narrow(place[np.concatenate(arrays)])],
                 "n_tokens": pa.array([held], pa.int64()),
             }
@@ -133,7 +134,7 @@ class _Block:
 
     def __init__(self, row: dict):
         self.sizes = np.frombuffer(row["sizes"], "<i8")
-        self.vocab = np.frombuffer(row["vocab"], np.uint64)
+        self.vocab = _unpack(row["vocab"])
         self.tokens = _wide(row["tokens"])
         self.train = np.repeat(np.frombuffer(row["train"], bool), self.sizes)
         end = int(np.searchsorted(self.vocab, np.uint64(xxhash.xxh3_64_intdigest(END))))
@@ -214,11 +215,11 @@ def _cells(pair: np.ndarray, context: np.ndarray, word: np.ndarray, n: int, type
     return bucket, p2, p1
 
 
-FACTS = "block long, docs binary, missing binary, sizes binary, train binary, words binary, contexts binary, pairs binary, cells binary"
+FACTS = "block long, docs binary, missing binary, sizes binary, train binary, words binary, pairs binary, cells binary"
 
 
 def _facts(coded: DataFrame, answers: DataFrame, n: int, types: int) -> DataFrame:
-    """Of each block, the counts of each token, its context and its pair, and the cells of its training tokens."""
+    """Of each block, the counts of each token and its pair, and the cells of its training tokens."""
 
     def run(key, left, right):
         row = left.to_pylist()[0]
@@ -231,8 +232,8 @@ def _facts(coded: DataFrame, answers: DataFrame, n: int, types: int) -> DataFram
         bucket, p2, p1 = _cells(pairs[t] - 1, contexts[t] - 1, words[t] - 1, n - 1, types)
         q = [np.where(p > 0, np.floor(STEPS_PER_OCTAVE * np.log2(np.maximum(p, 1e-18) * (types + 1))) + 512, 0).astype(np.int64) for p in (p2, p1)]
         codes, back = np.unique((bucket << 24) + (q[0] << 12) + q[1], return_inverse=True)
-        cells = np.stack([codes.astype(float), np.bincount(back, minlength=len(codes)), np.bincount(back, p2, len(codes)), np.bincount(back, p1, len(codes))])
-        return pa.table({**{c: [row[c]] for c in ("block", "docs", "missing", "sizes", "train")}, "words": [_narrow(words)], "contexts": [_narrow(contexts)], "pairs": [_narrow(pairs)], "cells": [cells.astype("<f8").tobytes()]}, schema=pa.schema([("block", pa.int64()), *((c, pa.binary()) for c in ("docs", "missing", "sizes", "train", "words", "contexts", "pairs", "cells"))]))
+        cells = [codes.astype("<u4"), np.bincount(back, minlength=len(codes)).astype("<u4"), np.bincount(back, p2, len(codes)).astype("<f4"), np.bincount(back, p1, len(codes)).astype("<f4")]
+        return pa.table({**{c: [row[c]] for c in ("block", "docs", "missing", "sizes", "train")}, "words": [_narrow(words)], "pairs": [_narrow(pairs)], "cells": [b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 4).T).tobytes() for c in cells)]}, schema=pa.schema([("block", pa.int64()), *((c, pa.binary()) for c in ("docs", "missing", "sizes", "train", "words", "pairs", "cells"))]))
 
     return coded.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, FACTS)
 
@@ -241,8 +242,9 @@ def _cell_rows(facts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw in batch.column(0).to_pylist():
-                c = np.frombuffer(raw, "<f8").reshape(4, -1)
-                yield pa.RecordBatch.from_arrays([pa.array(c[0].astype(np.int64)), pa.array(c[1]), pa.array(c[2]), pa.array(c[3])], ["cell", "n", "s2", "s1"])
+                planes = np.frombuffer(raw, np.uint8).reshape(4, 4, -1).transpose(0, 2, 1)
+                c = [np.ascontiguousarray(x).view(k).ravel() for x, k in zip(planes, ("<u4", "<u4", "<f4", "<f4"), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c[0].astype(np.int64)), *(pa.array(x.astype(np.float64)) for x in c[1:])], ["cell", "n", "s2", "s1"])
 
     return facts.select("cells").mapInArrow(run, "cell long, n double, s2 double, s1 double").groupBy("cell").agg(*(F.sum(c).alias(c) for c in ("n", "s2", "s1")))
 
@@ -298,7 +300,8 @@ def score(docs: DataFrame, *, block_tokens: int = BLOCK_TOKENS, shard_tokens: in
                 row = part.to_pylist()[0]
                 sizes = np.frombuffer(row["sizes"], "<i8")
                 words = _wide(row["words"])
-                bucket, p2, p1 = _cells(_wide(row["pairs"]), _wide(row["contexts"]), words, n, types)
+                contexts = np.concatenate([words[-1:], words[:-1]])  # a block ends in an end, which is also before its first word
+                bucket, p2, p1 = _cells(_wide(row["pairs"]), contexts, words, n, types)
                 w = weights[bucket]
                 each = np.log10(w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] / (types + 1))
                 base = np.log10((words + 0.5) / (n + 0.5 * (types + 1)))
