@@ -12,6 +12,7 @@ executor leaves no wrong or partial file in it.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -53,12 +54,24 @@ class ByteBPE:
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}  # by the word without the blank before it
         self.newline = self._ids(["\n"])[0]
+        letter = self.library.id_to_token(int(np.frombuffer(self._ids([" "])[0], self.kind)[0]))
+        #: Which ids stand for a blank and what follows it.
+        self.blank = np.array([(self.library.id_to_token(i) or "").startswith(letter) for i in range(self.library.get_vocab_size())])
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, of ``kind``."""
+        running = gc.isenabled()
+        gc.disable()  # it makes millions of strings and no cycles, which the collector would walk again and again
+        try:
+            return self._encode_many(texts)
+        finally:
+            if running:
+                gc.enable()
+
+    def _encode_many(self, texts: list[str]) -> list[bytes]:
         first, later, newline = self.first, self.later, self.newline
         plans: list[list[tuple[str, list[str], list[bytes | None]]] | str] = []
         lack_first: dict[str, bytes] = {}
@@ -95,13 +108,29 @@ class ByteBPE:
         return out
 
     def _learn(self, lacking: dict[str, bytes], memo: dict[str, bytes], before: str) -> None:
+        """Encodes words, all as one text: with a blank before each, or else with newlines between them."""
         words = list(lacking)
-        for w, ids in zip(words, self._ids([before + w for w in words]), strict=True):
+        if not words:
+            return
+        encode = getattr(self.library, "encode_batch_fast", self.library.encode_batch)
+        text = " " + " ".join(words) if before else "\n".join([*words, ""])
+        flat = np.array(encode([text], add_special_tokens=False)[0].ids, dtype=self.kind)
+        if before:
+            starts = np.flatnonzero(self.blank[flat])
+            edges, ends = starts, np.append(starts[1:], len(flat))
+        else:
+            ends = np.flatnonzero(flat == np.frombuffer(self.newline, self.kind)[0])
+            edges = np.append(0, ends[:-1] + 1)
+        if len(edges) == len(words):
+            raw, item = flat.tobytes(), flat.itemsize
+            found = [raw[item * a : item * b] for a, b in zip(edges.tolist(), ends.tolist(), strict=True)]
+        else:  # a tokenizer of another kind
+            found = self._ids([before + w for w in words])
+        for w, ids in zip(words, found, strict=True):
             lacking[w] = ids
             if len(w) <= MEMO_CHARS and len(memo) < MEMO_WORDS:
                 memo[w] = ids
 
-
 @lru_cache(maxsize=2)
 def model(path: str) -> ByteBPE:
     return ByteBPE(path)
