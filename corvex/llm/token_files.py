@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from corvex.llm._common import fresh_path, partitions_for, slices, stage
 
-MEMO_WORDS, MEMO_CHARS = 500_000, 40
+MEMO_WORDS, MEMO_CHARS = 900_000, 40
 #: Ids that a reader holds at a time.
 READ_IDS = 1 << 18
 
