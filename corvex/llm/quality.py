@@ -4,7 +4,7 @@ Each document gets a vector of transformed statistics (log length, log mean word
 shares of symbols, repeated lines and repeated word windows). For each group of one language and source, a deterministic
 FAST-MCD finds the mean and covariance of the tightest ``SUPPORT`` of its documents: starting from medians and absolute
 deviations, concentration steps keep the documents of smallest distance and estimate again. A document is rejected if
-its squared Mahalanobis distance exceeds ``CUTOFF``. Every statistic covers the whole text and every document.
+its squared Mahalanobis distance exceeds ``CUTOFF``, a chi-square quantile. Every statistic covers the whole text and every document.
 
 ``FLOORS``, squared, are added to the variances: most documents have no repeated line at all, and the bare determinant
 of such a group would be zero and any deviation an outlier. Groups of fewer than ``LEAST`` documents are judged with
@@ -25,9 +25,9 @@ from corvex.llm._common import BLANK, stage
 BLANKS = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
-SUPPORT, STEPS, LEAST, CUTOFF = 0.75, 4, 50, 60.0
-#: The median of a chi-square variable of five degrees of freedom.
-CHI2_MEDIAN = 4.351
+SUPPORT, STEPS, LEAST = 0.75, 4, 50
+#: The median and the 0.999 quantile of a chi-square variable of five degrees of freedom.
+CHI2_MEDIAN, CUTOFF = 4.351, 20.515
 FEATURES = ("x0", "x1", "x2", "x3", "x4")
 FLOORS = (0.3, 0.08, 0.06, 0.15, 0.15)
 D = len(FEATURES)

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
@@ -75,3 +76,17 @@ def test_salted_joins_change_nothing(spark, monkeypatch):
     want = {r["doc_id"]: (r["d2"] and round(r["d2"], 9), r["kept"]) for r in quality.judge(stats).collect()}
     monkeypatch.setattr(quality, "GROUPS", 0)
     assert {r["doc_id"]: (r["d2"] and round(r["d2"], 9), r["kept"]) for r in quality.judge(stats).collect()} == want
+
+
+def test_the_cutoff_is_a_chi_square_quantile():
+    x = quality.CUTOFF
+    beyond = math.erfc(math.sqrt(x / 2)) + math.sqrt(2 * x / math.pi) * math.exp(-x / 2) * (1 + x / 3)  # five degrees of freedom
+    assert beyond == pytest.approx(0.001, rel=1e-3)
+
+
+def test_labelled_junk_goes_and_clean_documents_stay(spark):
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "quality")
+    found = quality.verdicts(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).filter("not base_failed").join(labels, "doc_id").collect()
+    rejected = {q: [not r["kept"] for r in found if r["quality"] == q] for q in (0, 1)}
+    assert sum(rejected[0]) >= 0.9 * len(rejected[0]) > 0
+    assert sum(rejected[1]) <= 0.02 * len(rejected[1])
