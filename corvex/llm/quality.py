@@ -8,7 +8,8 @@ its squared Mahalanobis distance exceeds ``CUTOFF``, a chi-square quantile. Ever
 
 ``FLOORS``, squared, are added to the variances: most documents have no repeated line at all, and the bare determinant
 of such a group would be zero and any deviation an outlier. Groups of fewer than ``LEAST`` documents are judged with
-all such groups of their language together, and if those are too few as well, by the base rules alone.
+all such groups of their language together; if those are too few as well, by the estimate of their whole language, and
+if that is too small, by that of all documents, so that every document gets a verdict at any size.
 
 Groups are only ever aggregated, with partial sums before each shuffle; no group is gathered anywhere. Estimates, a row
 for each group, are broadcast if they are counted to be at most ``GROUPS``; beyond that the join is salted, so that a
@@ -143,21 +144,41 @@ def _quantile(name: str, p: float) -> Column:
     return F.percentile_approx(name, p, 10_000)
 
 
-def judge(stats: DataFrame, *, cutoff: float = CUTOFF, support: float = SUPPORT, steps: int = STEPS, least: int = LEAST) -> DataFrame:
+def _ladder(stats: DataFrame, least: int, everyone: bool) -> DataFrame:
+    """Of each language and source (g), the group that judges it (to), and whether its language is one as a whole (wide).
+
+    The groups' names begin with their rank: 0 one source, 1 the small sources of a language, 2 a language, 3 all.
+    """
+    sources = stats.groupBy("g", "l").agg(F.count_if(~F.col("base_failed")).alias("members"))
+    few = F.col("members") < least
+    langs = sources.groupBy("l").agg(F.coalesce(F.sum(F.when(few, F.col("members"))), F.lit(0)).alias("rest"), F.sum("members").alias("whole"), F.bool_or(few).alias("any_few"))
+    langs = langs.withColumn("wide", F.lit(everyone) & F.col("any_few") & (F.col("rest") < least) & (F.col("whole") >= least))
+    rest = F.concat(F.lit("1"), "l")
+    to = F.when(~few, F.col("g")).when(F.lit(not everyone) | (F.col("rest") >= least), rest).when(F.col("wide"), F.concat(F.lit("2"), "l")).otherwise("3")
+    return sources.join(langs, "l").select("g", to.alias("to"), "wide")
+
+
+def judge(stats: DataFrame, *, cutoff: float = CUTOFF, support: float = SUPPORT, steps: int = STEPS, least: int = LEAST, everyone: bool = False) -> DataFrame:
     """stats with ``d2``, the squared robust distance (null: no estimate), and ``kept``.
 
     kept is false if base_failed or d2 > cutoff. Documents that fail the base rules take no part in the estimates.
-    Null languages and sources are values of their own. An empty table gives an empty one.
+    With everyone, what its language has too few of for an estimate is judged by the whole language, or by all documents:
+    d2 is then null only where all documents fail the base rules. Null languages and sources are values of their own.
+    An empty table gives an empty one.
     """
-    name = F.concat_ws("\x1f", F.coalesce("lang", F.lit("\x00")), F.coalesce("source", F.lit("\x00")))
-    points = _features(stage(stats, "quality-statistics")).withColumn("g", name)
-    members = stage(points.filter(~F.col("base_failed")).groupBy("g").agg(F.count(F.lit(1)).alias("members")), "quality-members")
-    rest = F.concat(F.coalesce("lang", F.lit("\x00")), F.lit("\x1f\x1f"))
-    points = _matched(points, members, members.count() <= GROUPS, "left")
-    points = stage(points.withColumn("g", F.when(F.coalesce("members", F.lit(0)) >= least, F.col("g")).otherwise(rest)).drop("members"), "quality-points")
+    lang = F.coalesce("lang", F.lit("\x00"))
+    points = _features(stage(stats, "quality-statistics")).withColumn("l", lang).withColumn("g", F.concat(F.lit("0"), lang, F.lit("\x1f"), F.coalesce("source", F.lit("\x00"))))
+    ladder = stage(_ladder(points, least, everyone), "quality-groups")
+    every = not ladder.filter(F.col("to") == "3").isEmpty()
+    points = _matched(points, ladder, ladder.count() <= GROUPS)
+    points = stage(points.withColumn("g", F.col("to")).drop("to"), "quality-points")
     clean = points.filter(~F.col("base_failed"))
+    if everyone:  # a document takes part in the estimates of its own group, its language and all, as far as they are used
+        own = F.when(F.left("g", F.lit(1)).isin("0", "1"), F.col("g"))
+        parts = F.array(own, F.when(F.col("wide"), F.concat(F.lit("2"), "l")), F.lit("3" if every else None).cast("string"))
+        clean = clean.withColumn("g", F.explode(F.array_compact(parts)))
 
-    middle = clean.groupBy("g").agg(F.count(F.lit(1)).alias("c"), *(_quantile(x, 0.5).alias(f"m{i}") for i, x in enumerate(FEATURES))).filter(F.col("c") >= least)
+    middle = clean.groupBy("g").agg(F.count(F.lit(1)).alias("c"), *(_quantile(x, 0.5).alias(f"m{i}") for i, x in enumerate(FEATURES))).filter((F.col("c") >= least) | (F.col("g") == "3"))
     middle = stage(middle.drop("c"), "quality-middle")
     small = middle.count() <= GROUPS
     spread = _matched(clean, middle, small).groupBy("g").agg(*(F.first(f"m{i}").alias(f"m{i}") for i in range(D)), *(_quantile(F.abs(F.col(x) - F.col(f"m{i}")), 0.5).alias(f"d{i}") for i, x in enumerate(FEATURES)))
@@ -176,11 +197,11 @@ def judge(stats: DataFrame, *, cutoff: float = CUTOFF, support: float = SUPPORT,
 
 def verdicts(docs: DataFrame) -> DataFrame:
     """Of each document, its counts, base_failed and kept."""
-    judged = judge(statistics(docs))
+    judged = judge(statistics(docs), everyone=True)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2")
 
 
 def keep(docs: DataFrame) -> DataFrame:
     """The documents that pass, with all their columns; one without an id is judged like others."""
-    judged = judge(statistics(docs)).filter("kept").select(F.col("doc_id").alias("of")).distinct()
+    judged = judge(statistics(docs), everyone=True).filter("kept").select(F.col("doc_id").alias("of")).distinct()
     return docs.join(judged, docs["doc_id"].eqNullSafe(judged["of"]), "left_semi")

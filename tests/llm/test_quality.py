@@ -90,3 +90,29 @@ def test_labelled_junk_goes_and_clean_documents_stay(spark):
     rejected = {q: [not r["kept"] for r in found if r["quality"] == q] for q in (0, 1)}
     assert sum(rejected[0]) >= 0.9 * len(rejected[0]) > 0
     assert sum(rejected[1]) <= 0.02 * len(rejected[1])
+
+
+def test_every_document_gets_a_verdict(spark, monkeypatch):
+    """A small source of a large language, and rare languages, are judged by the whole language and by all."""
+    rng = random.Random(4)
+    plain = lambda: words(rng, rng.randrange(80, 200))
+    junk = lambda: "##### " * 60 + words(rng, 40)
+    rows = [(i, plain(), "en", "large", 1) for i in range(120)]
+    rows += [(200, plain(), "en", "small", 1), (201, junk(), "en", "small", 1), (202, plain(), "xx", "s", 1), (203, junk(), "xx", "s", 1), (204, junk(), None, None, 1), (205, "few", "yy", "s", 1)]
+    found = {r["doc_id"]: (r["kept"], r["d2"]) for r in quality.verdicts(frame(spark, rows)).collect()}
+    assert all(d2 is not None for _, d2 in found.values())
+    assert {i: found[i][0] for i in range(200, 206)} == {200: True, 201: False, 202: True, 203: False, 204: False, 205: False}
+    stats = [r.asDict() for r in quality.statistics(frame(spark, rows)).collect()]
+    for pool, ids in (("en", [200, 201]), (None, [202, 203, 204])):
+        alike = [r | {"lang": "one", "source": "one"} for r in stats if pool in (r["lang"], None)]
+        want = brute.mcd(alike, quality.FLOORS, quality.SUPPORT, quality.STEPS, quality.LEAST)
+        assert {i: found[i][1] for i in ids} == pytest.approx({i: want[i] for i in ids}, rel=1e-6)
+    monkeypatch.setattr(quality, "GROUPS", 0)
+    assert {r["doc_id"]: r["d2"] for r in quality.verdicts(frame(spark, rows)).collect()} == pytest.approx({i: d2 for i, (_, d2) in found.items()})
+
+
+def test_tables_of_any_size_get_verdicts(spark):
+    rng = random.Random(6)
+    for n in (1, 2, 49):
+        rows = [(i, words(rng, 100), f"l{i % 3}", "s", 1) for i in range(n)]
+        assert all(r["kept"] and r["d2"] is not None for r in quality.verdicts(frame(spark, rows)).collect())
