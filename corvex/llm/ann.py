@@ -3,8 +3,9 @@
 Rows are dealt to blocks of about ``BLOCK`` vectors by a hash of their id, and each block has a forest of its own:
 ``TREES`` sorted arrays of ``BITS``-bit strings, a bit for the side of a hyperplane through the block's middle. A query
 descends in each tree to its longest common prefix by bisection, and then ascends in all trees at once, a bit at a
-time, until their matches number ``PROBE`` times the block; the distinct ones are measured exactly. Whole prefix
-ranges are taken, so no copies of a vector are cut off, and every row is in a forest. A block is small whatever the
+time, until their matches number ``PROBE`` times the block, those of the query and its copies aside, and ``k`` rows
+other than the query are held; the distinct ones are measured exactly. Whole prefix ranges are taken, so no copies of a
+vector are cut off, and every row is in a forest. A block is small whatever the
 table; queries are read from the shared folder a few at a time, and a block gives its ``k`` nearest of each.
 
 The vectors of the test tables have next to no structure (64 dimensions, nearest at 1.05, median at 1.41), so that a
@@ -49,8 +50,14 @@ class Forest:
         high = low + (np.uint64(1) << np.uint64(BITS - depth))
         return tuple(np.array([np.searchsorted(self.sorted[t], v[t]) for t in range(self.trees)]) for v in (low, high))
 
-    def candidates(self, label: np.ndarray, wanted: int) -> np.ndarray:
-        """The rows found by synchronous ascent from the longest matches, until the matches number ``wanted``."""
+    def candidates(self, label: np.ndarray, wanted: int, least: int = 0) -> np.ndarray:
+        """The rows found by synchronous ascent from the longest matches, until the matches number ``wanted``.
+
+        Rows that share label's whole string in every tree, the query and its copies, are matches in each; up to
+        ``least`` of them are not counted. The ascent goes on until ``least`` rows are held, or all.
+        """
+        a, b = self.ranges(label, BITS)
+        wanted += self.trees * min(int((b - a).min()), least)
         lo, hi = 0, BITS  # the deepest depth with enough matches, by bisection: matches only grow as depth falls
         while lo < hi:
             mid = (lo + hi + 1) // 2
@@ -59,11 +66,14 @@ class Forest:
                 lo = mid
             else:
                 hi = mid - 1
-        a, b = self.ranges(label, lo)
-        found = np.zeros(len(self.x), bool)
-        for t in range(self.trees):
-            found[self.order[t, a[t] : b[t]]] = True
-        return np.flatnonzero(found)
+        while True:
+            a, b = self.ranges(label, lo)
+            found = np.zeros(len(self.x), bool)
+            for t in range(self.trees):
+                found[self.order[t, a[t] : b[t]]] = True
+            if lo == 0 or found.sum() >= least:
+                return np.flatnonzero(found)
+            lo -= 1
 
 
 def nearest(rows: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,6 +114,7 @@ def search(vectors: DataFrame, *, k: int = 10, every: int = EVERY, block: int =
         ids, out = group["vec_id"].to_numpy(), []
         x = np.array(group["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False), dtype=float).reshape(len(ids), -1)
         forest = Forest(x, trees)
+        held = dict(zip(*np.unique(ids, return_counts=True), strict=True))
         wanted = max(int(probe * len(ids)), 10 * k)
         fs, inner = pa.fs.FileSystem.from_uri(path)
         for batch in pyarrow.dataset.dataset(inner, filesystem=fs, format="parquet").to_batches(columns=["vec_id", "x"], batch_size=1024):
@@ -112,7 +123,7 @@ def search(vectors: DataFrame, *, k: int = 10, every: int = EVERY, block: int =
             q = np.array(batch.column(1).flatten().to_numpy(zero_copy_only=False), dtype=float).reshape(batch.num_rows, -1)
             labels = forest.labels(q)
             for i, own in enumerate(batch.column(0).to_pylist()):
-                some = forest.candidates(labels[:, i], wanted)
+                some = forest.candidates(labels[:, i], wanted, k + int(held.get(own, 0)))
                 found, d = nearest(x[some], ids[some], q[i], own, k)
                 out.append((np.full(len(found), own), found, d))
         cols = [np.concatenate([o[i] for o in out]) if out else np.zeros(0) for i in range(3)]

@@ -81,3 +81,11 @@ def test_forest_takes_whole_prefix_ranges():
     assert set(range(100, 400)) <= set(some.tolist())
     everything = f.candidates(f.labels(x[:1])[:, 0], 10**9)
     assert len(everything) == 500
+
+
+def test_copies_of_the_query_do_not_end_the_ascent(spark):
+    for n, copies in ((60, 3), (150, 4), (300, 6)):
+        rows = vectors(n, 64)
+        rows += [(n + 1000 + i, rows[0][1]) for i in range(1, copies)]
+        have, want = found(ann.search(frame(spark, rows), every=10**6)), brute.neighbours(rows, every=10**6)
+        assert len(have[0]) == 10 and recall(have, want) >= 0.9
