@@ -6,8 +6,8 @@ go to the least number of windows that could hold them: the two partial partitio
 again and again, the fullest window of one with the emptiest of the other, until one near-equal partition is left. The
 window count rises whenever the capacity is exceeded.
 
-Where one more window would cost more padding than a cut, the excess of the fullest windows is first cut off and put
-where there is room: the count rises only if that takes more than ``max_cuts`` of the pieces. Every id is in one piece.
+With ``max_cuts``, the excess of the fullest windows is instead cut off and put where there is room, unless that takes
+more than this share of the pieces; by default nothing shorter than a window is cut. Every id is in one piece.
 """
 
 from __future__ import annotations
@@ -57,7 +57,7 @@ def difference(sizes: list[int], windows: int) -> list[list[int]]:
     return found + [[] for _ in range(windows - len(found))]
 
 
-def windows_of(sizes: list[int], capacity: int = CAPACITY, max_cuts: float = 0.25) -> list[list[tuple[int, int, int]]]:
+def windows_of(sizes: list[int], capacity: int = CAPACITY, max_cuts: float = 0.0) -> list[list[tuple[int, int, int]]]:
     """Windows of (item, start, length), none over capacity, for items of at most capacity each."""
     items = [i for i, s in enumerate(sizes) if s]
     if not items:

@@ -85,3 +85,12 @@ def test_differencing_is_near_equal():
 def test_the_count_rises_when_capacity_is_exceeded():
     assert len(packing.windows_of([60, 60, 60], 100, max_cuts=0)) == 3
     assert len(packing.windows_of([60, 60, 60], 100, max_cuts=1)) == 2
+
+
+def test_by_default_no_item_is_cut():
+    assert len(packing.windows_of([60, 60, 60], 100)) == 3
+    rng = random.Random(3)
+    sizes = [rng.randrange(1, 4096) for _ in range(400)]
+    found = packing.windows_of(sizes)
+    assert sorted(p for w in found for p in w) == [(i, 0, s) for i, s in enumerate(sizes)]
+    assert len(found) < 1.05 * sum(sizes) / packing.CAPACITY + 1
