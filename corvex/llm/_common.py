@@ -6,11 +6,13 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of an Arrow batch that are Python objects at one time.
-STEP = 256
+#: Rows of an Arrow batch that are Python objects at one time, and bytes of their texts, beyond which a row is alone.
+STEP, STEP_BYTES = 256, 8 << 20
 #: The characters that separate words: space and the ASCII controls from tab to carriage return.
 BLANK = " \t\n\x0b\x0c\r"
 
@@ -53,9 +55,23 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(batch: pa.RecordBatch, step: int = STEP) -> Iterator[pa.RecordBatch]:
-    for at in range(0, batch.num_rows, step):
-        yield batch.slice(at, step)
+def slices(batch: pa.RecordBatch, step: int = STEP, most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """batch in parts of at most ``step`` rows, and of at most ``most`` bytes of text unless a row alone has more."""
+    if batch.nbytes <= most:
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+        return
+    sizes = np.zeros(batch.num_rows, np.int64)
+    for c in batch.columns:
+        if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type) or pa.types.is_large_binary(c.type):
+            sizes += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < batch.num_rows:
+        room = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right"))
+        to = min(at + step, max(room, at + 1))
+        yield batch.slice(at, to - at)
+        at = to
 
 
 def utf8(column: pa.Array) -> list[bytes]:
@@ -63,5 +79,14 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def partitions_for(spark: SparkSession, least: int = 1) -> int:
-    return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: Bytes of a scanned table that one task of an explicit repartition gets, about.
+TASK_BYTES = 128 << 20
+
+
+def partitions_for(spark: SparkSession, of: DataFrame | None = None) -> int:
+    """Partitions for an explicit repartition: spark.sql.shuffle.partitions, and more if the scanned files of ``of`` are large."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if of is None:
+        return n
+    size = int(str(of._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(n, -(-size // TASK_BYTES)) if size < 1 << 60 else n

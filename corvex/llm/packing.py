@@ -13,6 +13,7 @@ more than this share of the pieces; by default nothing shorter than a window is
 from __future__ import annotations
 
 import heapq
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvex.llm import bpe
+from corvex.llm import bpe, library_ids
 from corvex.llm._common import slices
 
 CAPACITY, END = 4096, 2
@@ -96,28 +97,36 @@ def windows_of(sizes: list[int], capacity: int = CAPACITY, max_cuts: float = 0.0
     return [w for w in found if w]
 
 
-def pack(docs: DataFrame, path: str | None = None, *, capacity: int = CAPACITY, end: int | None = END, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids (binary, 32-bit little-endian), doc_tokens, sequence_id, offset.
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
-    The ids of a document are those of ``bpe`` for the tokenizer file ``path``, then ``end``. A null or empty text is
-    the end id alone. A sequence_id is unique and the same on a retry: the task's partition number, then a count.
-    Documents longer than a window are cut at its multiples; equal rows are packed like others; an empty table gives
-    no rows. Columns other than doc_id and text are not read.
+
+def pack(docs: DataFrame, path: str | None = None, *, capacity: int = CAPACITY, end: int | None = END, block_ids: int = BLOCK_IDS, with_ids: bool = True) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids if wanted.
+
+    The ids of a document are those of the tokenizers library for the file ``path``, then ``end``; a piece has them as
+    32-bit little-endian integers, and their unsigned CRC-32. A null or empty text is the end id alone. A sequence_id is
+    unique and the same on a retry: the task's partition number, then a count. Documents longer than a window are cut at
+    its multiples; equal rows are packed like others; an empty table gives no rows. Columns other than doc_id and text
+    are not read.
     """
     path = path or bpe.default_path()
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     tail = b"" if end is None else np.array([end], dtype="<u4").tobytes()
-    names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+    schema = PIECES + ", ids binary" * with_ids
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = bpe.model(path)
+        model = library_ids.model(path)
         base, made = TaskContext.get().partitionId() << 32, 0
-        rest: list[tuple[int, int, bytes, int]] = []  # doc_id, start, ids, ids of its document
+        rest: list[tuple[int | None, int, bytes, int]] = []  # doc_id, start, ids, ids of its document
         held = 0
 
         def batch(out: list[tuple]) -> pa.RecordBatch:
-            cols = list(zip(*out, strict=True)) if out else [[] for _ in names]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "ids" else pa.int64()) for n, c in zip(names, cols, strict=True)], names)
+            cols = list(zip(*out, strict=True)) if out else [[] for _ in range(7)]
+            ids = cols.pop(3)
+            arrays = [pa.array(c, pa.int64()) for c in cols]
+            arrays.insert(3, pa.array([zlib.crc32(x) for x in ids], pa.int64()))
+            return pa.RecordBatch.from_arrays([*arrays, pa.array(ids, pa.binary())] if with_ids else arrays, names)
 
         def flush() -> pa.RecordBatch:
             nonlocal made, held
@@ -146,14 +155,15 @@ def pack(docs: DataFrame, path: str | None = None, *, capacity: int = CAPACITY,
                     if n > at:
                         rest.append((doc, at, ids[4 * at :], n))
                         held += n - at
-                yield batch(out)
-                if held >= block_ids:
-                    yield flush()
+                    if held >= block_ids:
+                        yield flush()
+                if out:
+                    yield batch(out)
         yield flush()
 
-    return rows.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return rows.mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """The pieces, with the CRC-32 of their ids in place of the ids."""
-    return pack(docs, path).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    """The pieces, with the CRC-32 of their ids but not the ids."""
+    return pack(docs, path, with_ids=False)
