@@ -12,13 +12,10 @@ executor leaves no wrong or partial file in it.
 
 from __future__ import annotations
 
-import gc
 import json
-import os
-import re
 import uuid
+import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,116 +23,13 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvex.llm import bpe, library_ids
 from corvex.llm._common import fresh_path, partitions_for, slices, stage
 
-MEMO_WORDS, MEMO_CHARS = 900_000, 40
 #: Ids that a reader holds at a time.
 READ_IDS = 1 << 18
 
 
-class ByteBPE:
-    """The library's ids for a byte-level tokenizer file, with a bounded memo of words.
-
-    No token crosses a single blank between two other characters, but that a blank belongs to the word after it. A
-    text in which blanks stand alone is therefore encoded word by word, and any other as a whole.
-    """
-
-    _RUNS = re.compile(r"\s\s")
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.kind = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
-        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}  # by the word without the blank before it
-        self.newline = self._ids(["\n"])[0]
-        letter = self.library.id_to_token(int(np.frombuffer(self._ids([" "])[0], self.kind)[0]))
-        #: Which ids stand for a blank and what follows it.
-        self.blank = np.array([(self.library.id_to_token(i) or "").startswith(letter) for i in range(self.library.get_vocab_size())])
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
-
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, of ``kind``."""
-        running = gc.isenabled()
-        gc.disable()  # it makes millions of strings and no cycles, which the collector would walk again and again
-        try:
-            return self._encode_many(texts)
-        finally:
-            if running:
-                gc.enable()
-
-    def _encode_many(self, texts: list[str]) -> list[bytes]:
-        first, later, newline = self.first, self.later, self.newline
-        plans: list[list[tuple[str, list[str], list[bytes | None]]] | str] = []
-        lack_first: dict[str, bytes] = {}
-        lack_later: dict[str, bytes] = {}
-        for t in texts:
-            if self._RUNS.search(t) or any(a in t for a in self.added):
-                plans.append(t)
-                continue
-            plan = []
-            for line in t.split("\n"):
-                head, *rest = line.split(" ")
-                found = list(map(later.get, rest))
-                if None in found:
-                    lack_later.update((w, b"") for w, x in zip(rest, found, strict=True) if x is None)
-                if head and head not in first:
-                    lack_first[head] = b""
-                plan.append((head, rest, found))
-            plans.append(plan)
-        self._learn(lack_first, first, "")
-        self._learn(lack_later, later, " ")
-        whole = iter(self._ids([p for p in plans if isinstance(p, str)]))
-        out = []
-        for plan in plans:
-            if isinstance(plan, str):
-                out.append(next(whole))
-                continue
-            lines = []
-            for head, rest, found in plan:
-                h = b"" if not head else lack_first[head] if head in lack_first else first[head]
-                if None in found:
-                    found = [lack_later[w] if x is None else x for w, x in zip(rest, found, strict=True)]
-                lines.append(h + b"".join(found))
-            out.append(newline.join(lines))
-        return out
-
-    def _learn(self, lacking: dict[str, bytes], memo: dict[str, bytes], before: str) -> None:
-        """Encodes words, all as one text: with a blank before each, or else with newlines between them."""
-        words = list(lacking)
-        if not words:
-            return
-        encode = getattr(self.library, "encode_batch_fast", self.library.encode_batch)
-        text = " " + " ".join(words) if before else "\n".join([*words, ""])
-        flat = np.array(encode([text], add_special_tokens=False)[0].ids, dtype=self.kind)
-        if before:
-            starts = np.flatnonzero(self.blank[flat])
-            edges, ends = starts, np.append(starts[1:], len(flat))
-        else:
-            ends = np.flatnonzero(flat == np.frombuffer(self.newline, self.kind)[0])
-            edges = np.append(0, ends[:-1] + 1)
-        if len(edges) == len(words):
-            raw, item = flat.tobytes(), flat.itemsize
-            found = [raw[item * a : item * b] for a, b in zip(edges.tolist(), ends.tolist(), strict=True)]
-        else:  # a tokenizer of another kind
-            found = self._ids([before + w for w in words])
-        for w, ids in zip(words, found, strict=True):
-            lacking[w] = ids
-            if len(w) <= MEMO_CHARS and len(memo) < MEMO_WORDS:
-                memo[w] = ids
-
-@lru_cache(maxsize=2)
-def model(path: str) -> ByteBPE:
-    return ByteBPE(path)
-
-
 class EliasFano:
     """A non-decreasing sequence of integers from 0 to ``top``, compressed, with access to any element."""
 
@@ -212,22 +106,21 @@ def write(docs: DataFrame, folder: str | None = None, path: str | None = None, *
     for each file in order, with ``base``, the ids of all files before it; no documents give no files. Columns other
     than doc_id and text are not read.
     """
-    from corvex.llm import bpe
-
     spark = docs.sparkSession
     folder, path = folder or fresh_path(spark, "token-files"), path or bpe.default_path("byte_bpe_50k.json")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(files or partitions_for(spark), "doc_id").sortWithinPartitions("doc_id")
+    rows = rows.repartitionByRange(files or partitions_for(spark, rows), "doc_id").sortWithinPartitions("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        bpe_ = model(path)
-        tail = b"" if end is None else np.array([end], dtype=bpe_.kind).tobytes()
+        model = library_ids.model(path)
+        kind = "<u2" if model.narrow else "<u4"
+        tail = b"" if end is None else np.array([end], dtype=kind).tobytes()
         fs, inner = pa.fs.FileSystem.from_uri(folder)
         part = TaskContext.get().partitionId()
         name = f"ids-{part:05d}-{uuid.uuid4().hex}.bin"
-        out, ids, ends, nulls, total, item = None, [], [], 0, 0, int(bpe_.kind[-1])
+        out, ids, ends, nulls, total, item = None, [], [], 0, 0, int(kind[-1])
         for batch in batches:
             for some in slices(batch):
                 if out is None:
@@ -235,7 +128,7 @@ def write(docs: DataFrame, folder: str | None = None, path: str | None = None, *
                 found = some.column(0).to_pylist()
                 nulls += found.count(None)
                 ids.append(np.array([x or 0 for x in found], dtype="<i8"))
-                encoded = [x + tail for x in bpe_.encode_many(some.column(1).to_pylist())]
+                encoded = [x + tail for x in model.encode_many(some.column(1).to_pylist(), model.narrow)]
                 lengths = np.cumsum([len(x) // item for x in encoded])
                 ends.append(total + lengths)
                 total += int(lengths[-1])
@@ -244,7 +137,7 @@ def write(docs: DataFrame, folder: str | None = None, path: str | None = None, *
             return
         keys = np.concatenate(ids)
         bounds = EliasFano.of(np.concatenate([[0], *ends])).to_bytes()
-        footer = json.dumps({"kind": bpe_.kind, "n_docs": len(keys), "n_null": nulls, "n_tokens": total, "bounds": len(bounds)}).encode()
+        footer = json.dumps({"kind": kind, "n_docs": len(keys), "n_null": nulls, "n_tokens": total, "bounds": len(bounds)}).encode()
         out.write(keys.tobytes() + bounds + footer + len(footer).to_bytes(8, "little"))
         out.close()
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [f"{folder}/{name}"], "first_doc": pa.array([int(keys[0])], pa.int64()), "n_docs": pa.array([len(keys)], pa.int64()), "n_tokens": pa.array([total], pa.int64())})
@@ -284,10 +177,15 @@ class TokenFile:
         return self.ids(self.bounds[i], self.bounds[i + 1])
 
 
-def read(files: DataFrame) -> DataFrame:
-    """doc_id, start (ids of all documents before it) and ids (binary, 32-bit little-endian) of every document."""
+def read(files: DataFrame, *, with_ids: bool = True) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, if wanted, ids of every document.
+
+    ids are binary, 32-bit little-endian, and ids_crc32 is their unsigned CRC-32.
+    """
     spark = files.sparkSession
     n = max(1, files.count())
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -297,15 +195,16 @@ def read(files: DataFrame) -> DataFrame:
                     ahead = f.bounds.slice(at, min(f.n_docs, at + 1024) + 1)
                     k = max(1, int(np.searchsorted(ahead, ahead[0] + READ_IDS, side="right")) - 1)
                     k = min(k, len(ahead) - 1)
-                    flat = f.ids(int(ahead[0]), int(ahead[k])).astype("<u4")
-                    cut = (ahead[: k + 1] - ahead[0]).tolist()
-                    yield pa.RecordBatch.from_arrays([pa.array(f.keys(at, at + k), pa.int64()), pa.array(base + ahead[:k]), pa.array([flat[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())], ["doc_id", "start", "ids"])
+                    raw = memoryview(f.ids(int(ahead[0]), int(ahead[k])).astype("<u4")).cast("B")
+                    cut = (4 * (ahead[: k + 1] - ahead[0])).tolist()
+                    each = [raw[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+                    out = [pa.array(f.keys(at, at + k), pa.int64()), pa.array(base + ahead[:k]), pa.array(np.diff(ahead[: k + 1])), pa.array([zlib.crc32(x) for x in each], pa.int64())]
+                    yield pa.RecordBatch.from_arrays([*out, pa.array(each, pa.binary())] if with_ids else out, names)
                     at += k
 
-    return files.select("path", "base").repartition(min(n, 4 * partitions_for(spark)), "path").mapInArrow(run, "doc_id long, start long, ids binary")
+    return files.select("path", "base").repartition(min(n, 4 * partitions_for(spark)), "path").mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """Writes the files and reads them back: each document's place, ids and their CRC-32."""
-    back = read(write(docs))
-    return back.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+    """Writes the files and reads them back: each document's place, number of ids and their CRC-32."""
+    return read(write(docs), with_ids=False)

@@ -43,15 +43,6 @@ def test_random_access(spark):
     assert not want
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from("abc 'st\n\t  <|>")), max_size=50))
-def test_ids_are_those_of_the_library(text):
-    import public_tokenizers
-
-    m = token_files.model(public_tokenizers.path("byte_bpe_50k.json"))
-    assert np.frombuffer(m.encode_many([text])[0], m.kind).tolist() == brute.ids_of(text, "byte_bpe_50k.json")
-
-
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 1 << 20), max_size=700).map(sorted), st.sampled_from([1, 3, 1 << 22]))
 def test_elias_fano(values, scale):
