@@ -1,135 +1,286 @@
-"""Approximate nearest neighbours by a hash-prefix forest.
-
-Rows are dealt to blocks of about ``BLOCK`` vectors by a hash of their id, and each block has a forest of its own:
-``TREES`` sorted arrays of ``BITS``-bit strings, a bit for the side of a hyperplane through the block's middle. A query
-descends in each tree to its longest common prefix by bisection, and then ascends in all trees at once, a bit at a
-time, until their matches number ``PROBE`` times the block, those of the query and its copies aside, and ``k`` rows
-other than the query are held; the distinct ones are measured exactly. Whole prefix ranges are taken, so no copies of a
-vector are cut off, and every row is in a forest. A block is small whatever the
-table; queries are read from the shared folder a few at a time, and a block gives its ``k`` nearest of each.
-
-The vectors of the test tables have next to no structure (64 dimensions, nearest at 1.05, median at 1.41), so that a
-recall of 0.9 takes a large share of each block; ``PROBE`` is set for that, and clustered vectors do with less.
+"""Approximate nearest neighbours by a hash-prefix forest over the whole table.
+
+A row has a long hash string in each of ``TREES`` trees: rounds of a *symbol*, the axis of a random rotation that the
+vector lies nearest to, with its sign, and ``SIDES`` bits for the sides of hyperplanes. A tree is the sorted array of
+its strings, cut into blocks of ``LEAF`` and dealt out by ranges. A query goes to the blocks that share the first bits
+of its string, finds its longest matches there by bisection, and ascends in all trees at once, a level at a time, until
+the matches of all trees number ``PROBE`` times the root of the number of rows. Whole prefix ranges are taken. Only if
+the blocks it was sent to hold too few does it go to more of them, in the end to all. The distinct rows found go to the
+blocks of their vectors and are measured exactly there, so that nothing is held against all rows, a query asks for a
+number of rows that grows with their root alone, and what comes back is linear in the queries.
+
+Equal vectors are one *class*: it is hashed, searched and measured once, and stands for the ``k + 1`` smallest of its
+ids, which are all that the nearest ``k`` of any query can have of it. So copies never fill a task or end an ascent.
+
+The forest is fitted on nothing but the middle of ``SAMPLE`` rows. By pigeonhole, ``trees * (k + 1)`` matches are
+``k + 1`` rows at least, so that ``k`` others are found wherever there are as many.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.dataset
-import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvex.llm._common import fresh_path, stage
-
-BLOCK, TREES, BITS, PROBE, EVERY = 8192, 48, 32, 1.2, 100
-SEED = 7
-
-
-class Forest:
-    """The sorted strings of a block's vectors in each tree."""
-
-    def __init__(self, x: np.ndarray, trees: int = TREES, seed: int = SEED):
-        self.x, self.trees = x, trees
-        self.planes = np.random.default_rng(seed).standard_normal((x.shape[1], trees * BITS))
-        self.middle = np.median(x, axis=0)
-        label = self.labels(x)
-        self.order = np.argsort(label, axis=1, kind="stable")
-        self.sorted = np.take_along_axis(label, self.order, axis=1)
-
-    def labels(self, x: np.ndarray) -> np.ndarray:
-        side = ((x - self.middle) @ self.planes >= 0).reshape(len(x), self.trees, BITS)
-        return (side.astype(np.uint64) @ (np.uint64(1) << np.arange(BITS - 1, -1, -1, dtype=np.uint64))).T.copy()
-
-    def ranges(self, label: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """In each tree, where the strings begin and end that share the first ``depth`` bits of label's."""
-        low = label >> np.uint64(BITS - depth) << np.uint64(BITS - depth)
-        high = low + (np.uint64(1) << np.uint64(BITS - depth))
-        return tuple(np.array([np.searchsorted(self.sorted[t], v[t]) for t in range(self.trees)]) for v in (low, high))
-
-    def candidates(self, label: np.ndarray, wanted: int, least: int = 0) -> np.ndarray:
-        """The rows found by synchronous ascent from the longest matches, until the matches number ``wanted``.
-
-        Rows that share label's whole string in every tree, the query and its copies, are matches in each; up to
-        ``least`` of them are not counted. The ascent goes on until ``least`` rows are held, or all.
-        """
-        a, b = self.ranges(label, BITS)
-        wanted += self.trees * min(int((b - a).min()), least)
-        lo, hi = 0, BITS  # the deepest depth with enough matches, by bisection: matches only grow as depth falls
-        while lo < hi:
-            mid = (lo + hi + 1) // 2
-            a, b = self.ranges(label, mid)
-            if (b - a).sum() >= wanted:
-                lo = mid
-            else:
-                hi = mid - 1
-        while True:
-            a, b = self.ranges(label, lo)
-            found = np.zeros(len(self.x), bool)
-            for t in range(self.trees):
-                found[self.order[t, a[t] : b[t]]] = True
-            if lo == 0 or found.sum() >= least:
-                return np.flatnonzero(found)
-            lo -= 1
-
-
-def nearest(rows: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ids and exact distances of the k nearest rows but own, ties to the smaller id."""
+from corvex.llm._common import partitions_for, slices, stage
+
+TREES, SIDES, PROBE, EVERY, SEED = 64, 3, 36.0, 100, 7
+#: Strings of a block of a tree, vectors of a block that are measured together, and rows that the middle is taken from.
+LEAF, VECTORS, SAMPLE = 4096, 2048, 4096
+#: Axes of a rotation at most; vectors of more dimensions are projected.
+AXES = 256
+
+
+class Strings:
+    """The hash strings of vectors: ``bits`` long, with ``levels`` the numbers of bits at which a prefix may end."""
+
+    def __init__(self, dim: int, trees: int, rounds: int):
+        self.trees, axes = trees, min(dim, AXES)
+        self.symbol = max(1, (2 * axes - 1).bit_length())
+        self.levels = [0]
+        for _ in range(rounds):
+            self.levels += [self.levels[-1] + self.symbol + i for i in range(SIDES + 1)]
+        self.bits = self.levels[-1]
+        self.turns, self.planes = [], []
+        for t in range(trees):
+            rng = np.random.default_rng((SEED, t))
+            for _ in range(rounds):
+                turn = rng.standard_normal((dim, axes))
+                self.turns.append((np.linalg.qr(turn)[0] if axes == dim else turn).astype(np.float32))
+                self.planes.append(rng.standard_normal((dim, SIDES)).astype(np.float32))
+
+    def codes(self, x: np.ndarray) -> np.ndarray:
+        """(rows, trees) of integers whose highest of ``bits`` bits is the string's first."""
+        x = x.astype(np.float32)
+        out, rounds, every = np.zeros((len(x), self.trees), np.int64), len(self.turns) // self.trees, np.arange(len(x))
+        for i, (turn, planes) in enumerate(zip(self.turns, self.planes, strict=True)):
+            z = x @ turn
+            axis = np.abs(z).argmax(axis=1)
+            own = 2 * axis + (z[every, axis] > 0)
+            for side in (x @ planes >= 0).T:
+                own = 2 * own + side
+            at = i // rounds
+            out[:, at] = out[:, at] << (self.symbol + SIDES) | own
+        return out
+
+    def range(self, code: np.ndarray, level: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+        """The strings from which and below which the first bits are those of code, as many as the level has."""
+        shift = self.bits - np.asarray(self.levels)[level]
+        low = code >> shift << shift
+        return low, low + (np.int64(1) << shift)
+
+
+def rounds_for(n: int, dim: int) -> int:
+    """Rounds of strings that some ten bits tell apart beyond a number for each row, in 62 bits at most."""
+    each = max(1, (2 * min(dim, AXES) - 1).bit_length()) + SIDES
+    return max(1, min(62 // each, -(-(max(1, n).bit_length() + 10) // each)))
+
+
+@lru_cache(maxsize=2)
+def strings(dim: int, trees: int, rounds: int) -> Strings:
+    return Strings(dim, trees, rounds)
+
+
+def matrix(column: pa.Array, rows: int) -> np.ndarray:
+    return np.array(column.flatten().to_numpy(zero_copy_only=False), dtype=float).reshape(rows, -1)
+
+
+def nearest(rows: np.ndarray, ids: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids and exact distances of the k nearest rows, ties to the smaller id."""
     d = np.sqrt(((rows - query) ** 2).sum(axis=1))
-    use = np.flatnonzero(ids != own)
-    best = use[np.lexsort((ids[use], d[use]))[:k]]
+    best = np.lexsort((ids, d))[:k]
     return ids[best], d[best]
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and x (array<double>) of the rows that take part, each once.
+    """vec_id and x (array<double>) of the rows that take part, an id once.
 
     Left out are null ids, null or zero vectors, vectors with null or non-finite components, and those of another
-    dimension than most (of equally many, the larger one).
+    dimension than most (of equally many, the larger one). Of different vectors under one id, the least counts.
     """
     x = F.col("embedding").cast("array<double>")
     bad = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).filter("vec_id is not null and x is not null and size(x) > 0")
-    rows = rows.filter(~F.exists("x", bad) & F.exists("x", lambda v: v != 0)).distinct()
+    rows = rows.filter(~F.exists("x", bad) & F.exists("x", lambda v: v != 0))
     dims = rows.groupBy(F.size("x").alias("dim")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), F.desc("dim")).limit(1)
-    return rows.join(F.broadcast(dims.select("dim")), F.size("x") == F.col("dim"), "left_semi")
+    return rows.join(F.broadcast(dims.select("dim")), F.size("x") == F.col("dim"), "left_semi").groupBy("vec_id").agg(F.min("x").alias("x"))
+
+
+def _coded(rows: DataFrame, dim: int, middle: list[float], trees: int, rounds: int) -> DataFrame:
+    """tree, code, cid: the strings of each class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, centre = strings(dim, trees, rounds), np.array(middle)
+        for batch in batches:
+            for part in slices(batch, 1024):
+                codes = made.codes(matrix(part.column(1), part.num_rows) - centre)
+                tree = np.tile(np.arange(trees, dtype=np.int32), part.num_rows)
+                yield pa.RecordBatch.from_arrays([pa.array(tree), pa.array(codes.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), trees))], ["tree", "code", "cid"])
+
+    return rows.select("cid", "x").mapInArrow(run, "tree int, code long, cid long")
+
+
+def _blocks(entries: DataFrame, leaf: int) -> DataFrame:
+    """The sorted arrays in blocks of one tree and up to ``leaf`` strings each."""
+    names = ["block", "tree", "first", "last", "codes", "cids"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, made = TaskContext.get().partitionId() << 32, 0
+        held = [np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)]
 
+        def cut(most: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, made
+            tree, code, cid = held
+            edges = np.append(np.flatnonzero(np.diff(tree, prepend=-1)), len(tree)).tolist()
+            at = 0
+            for a, b in zip(edges, edges[1:], strict=False):
+                for at in range(a, b, leaf):
+                    to = min(at + leaf, b)
+                    if most and to == len(tree):
+                        break  # it may go on in the next batch
+                    yield pa.RecordBatch.from_arrays([pa.array([base + made]), pa.array([int(tree[at])], pa.int32()), pa.array([code[at]]), pa.array([code[to - 1]]), pa.array([code[at:to].tobytes()]), pa.array([cid[at:to].tobytes()])], names)
+                    made += 1
+                    at = to
+            held = [x[at:] for x in held]
 
-def search(vectors: DataFrame, *, k: int = 10, every: int = EVERY, block: int = BLOCK, trees: int = TREES, probe: float = PROBE) -> DataFrame:
+        for batch in batches:
+            held = [np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held)]
+            yield from cut(True)
+        yield from cut(False)
+
+    dealt = entries.repartitionByRange(partitions_for(entries.sparkSession), "tree", "code", "cid").sortWithinPartitions("tree", "code", "cid")
+    return dealt.mapInArrow(run, "block long, tree int, first long, last long, codes binary, cids binary")
+
+
+class _Forest:
+    def __init__(self, classes: DataFrame, n: int, dim: int, trees: int, leaf: int):
+        self.n, self.trees, self.leaf = n, trees, leaf
+        sample = classes.limit(SAMPLE).select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("v"))
+        self.how = dim, [r["v"] for r in sorted(sample.collect())], trees, rounds_for(n, dim)
+        self.strings = strings(dim, trees, self.how[3])
+        self.blocks = stage(_blocks(_coded(classes, *self.how), leaf), "ann-blocks")
+
+    def _asks(self, queries: DataFrame, bits: int) -> DataFrame:
+        """queries (cid, tree, code, ...) with each block that has strings of the same first bits."""
+        shift = self.strings.bits - bits
+        spans = self.blocks.select("block", "tree", F.explode(F.sequence(F.shiftright("first", shift), F.shiftright("last", shift))).alias("root"))
+        return queries.withColumn("root", F.shiftright("code", shift)).join(spans, ["tree", "root"]).drop("tree", "root")
+
+    def _counts(self, asks: DataFrame, levels: list[int]) -> DataFrame:
+        """cid and m<level>, the matches in a block at each level."""
+        of = self.how[0], self.how[2], self.how[3]
+
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            made, code = strings(*of), right["code"].to_numpy()
+            own = np.frombuffer(left["codes"][0].as_py(), np.int64)
+            out = {"cid": right["cid"]}
+            for level in levels:
+                low, high = made.range(code, level)
+                out[f"m{level}"] = pa.array(np.searchsorted(own, high) - np.searchsorted(own, low))
+            return pa.table(out)
+
+        schema = "cid long, " + ", ".join(f"m{level} long" for level in levels)
+        return self.blocks.select("block", "codes").groupBy("block").cogroup(asks.groupBy("block")).applyInArrow(_both(run, schema), schema)
+
+    def _matches(self, asks: DataFrame) -> DataFrame:
+        """cid and of, a query and a class of its prefix range."""
+        of = self.how[0], self.how[2], self.how[3]
+
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            made = strings(*of)
+            own, cids = (np.frombuffer(left[c][0].as_py(), np.int64) for c in ("codes", "cids"))
+            low, high = made.range(right["code"].to_numpy(), right["level"].to_numpy())
+            a, b = np.searchsorted(own, low), np.searchsorted(own, high)
+            at = np.concatenate([np.arange(i, j) for i, j in zip(a.tolist(), b.tolist(), strict=True)])
+            return pa.table({"cid": pa.array(np.repeat(right["cid"].to_numpy(), b - a)), "of": pa.array(cids[at])})
+
+        schema = "cid long, of long"
+        return self.blocks.select("block", "codes", "cids").groupBy("block").cogroup(asks.groupBy("block")).applyInArrow(_both(run, schema), schema)
+
+    def candidates(self, queries: DataFrame, wanted: int) -> DataFrame:
+        """cid and of, each pair once or more: the classes found for each query by synchronous ascent."""
+        levels = self.strings.levels
+        coded = stage(_coded(queries, *self.how), "ann-strings")
+        start = max(0, (self.n // self.leaf).bit_length() - 1)
+        roots = [b for b in levels if b <= start][::-1]  # a block has the strings of about one root of the first
+        out = None
+        for bits in roots:
+            asks = stage(self._asks(coded, bits), "ann-asks")
+            use = [i for i, b in enumerate(levels) if b >= bits]
+            total = self._counts(asks, use).groupBy("cid").agg(*(F.sum(f"m{i}").alias(f"m{i}") for i in use))
+            enough = [F.when(F.col(f"m{i}") >= wanted, i) for i in reversed(use)]
+            depth = stage(total.select("cid", F.coalesce(*enough, F.lit(0 if bits == 0 else None).cast("int")).alias("level")), "ann-depths")
+            found = self._matches(asks.join(depth.filter("level is not null"), "cid"))
+            out = found if out is None else out.union(found)
+            if bits == 0:
+                break
+            # a query in an empty region has no block, and so no row here
+            lacking = coded.join(depth.filter("level is not null"), "cid", "left_anti")
+            if lacking.isEmpty():
+                break
+            coded = stage(lacking, "ann-strings")
+        return out
+
+
+def _both(run, schema: str):
+    """run on the tables of both sides; none of a group that one side has alone."""
+    empty = pa.schema([(c.split()[0], pa.int64()) for c in schema.split(", ")]).empty_table()
+    return lambda left, right: run(left, right) if left.num_rows and right.num_rows else empty
+
+
+def _measured(pairs: DataFrame, classes: DataFrame, queries: DataFrame, blocks: int, k: int) -> DataFrame:
+    """cid, of, score: of each query, the k nearest classes in each block of vectors that has candidates."""
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    asked = pairs.groupBy("cid", at("of").alias("at")).agg(F.collect_set("of").alias("some")).join(queries, "cid")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids = left["cid"].to_numpy()
+        order = np.argsort(ids)
+        ids, x = ids[order], matrix(left["x"].combine_chunks(), left.num_rows)[order]
+        out = []
+        for batch in right.select(["cid", "some", "x"]).to_batches(256):
+            q = matrix(batch.column(2), batch.num_rows)
+            for i, own in enumerate(batch.column(0).to_pylist()):
+                some = np.searchsorted(ids, np.sort(batch.column(1)[i].values.to_numpy()))
+                found, d = nearest(x[some], ids[some], q[i], k)
+                out.append((np.full(len(found), own), found, d))
+        cols = [np.concatenate([o[i] for o in out]) for i in range(3)]
+        return pa.table({"cid": pa.array(cols[0]), "of": pa.array(cols[1]), "score": pa.array(cols[2])})
+
+    empty = pa.schema([("cid", pa.int64()), ("of", pa.int64()), ("score", pa.float64())]).empty_table()
+    both = lambda left, right: run(left, right) if left.num_rows and right.num_rows else empty
+    dealt = classes.select("cid", "x", at("cid").alias("at"))
+    return dealt.groupBy("at").cogroup(asked.groupBy("at")).applyInArrow(both, "cid long, of long, score double")
+
+
+def search(vectors: DataFrame, *, k: int = 10, every: int = EVERY, trees: int = TREES, probe: float = PROBE, leaf: int = LEAF, block: int = VECTORS) -> DataFrame:
     """query_id, rank, vec_id, score: of each row whose vec_id is divisible by ``every``, its k nearest others found.
 
-    score is the Euclidean distance in double precision. Vectors that take no part are neither found nor queries.
+    score is the Euclidean distance in double precision, ties go to the smaller vec_id, and all others are found if
+    there are fewer than k. Vectors that take no part (see ``usable``) are neither found nor queries; an empty table
+    gives no rows. Columns other than vec_id and embedding are not read.
     """
     spark = vectors.sparkSession
     rows = stage(usable(vectors), "vectors")
-    n = rows.count()
-    blocks = max(1, -(-n // block))
-    path = fresh_path(spark, "queries")
-    rows.filter(F.col("vec_id") % every == 0).write.mode("overwrite").parquet(path)
-
-    def run(key, group):
-        ids, out = group["vec_id"].to_numpy(), []
-        x = np.array(group["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False), dtype=float).reshape(len(ids), -1)
-        forest = Forest(x, trees)
-        held = dict(zip(*np.unique(ids, return_counts=True), strict=True))
-        wanted = max(int(probe * len(ids)), 10 * k)
-        fs, inner = pa.fs.FileSystem.from_uri(path)
-        for batch in pyarrow.dataset.dataset(inner, filesystem=fs, format="parquet").to_batches(columns=["vec_id", "x"], batch_size=1024):
-            if not batch.num_rows:
-                continue
-            q = np.array(batch.column(1).flatten().to_numpy(zero_copy_only=False), dtype=float).reshape(batch.num_rows, -1)
-            labels = forest.labels(q)
-            for i, own in enumerate(batch.column(0).to_pylist()):
-                some = forest.candidates(labels[:, i], wanted, k + int(held.get(own, 0)))
-                found, d = nearest(x[some], ids[some], q[i], own, k)
-                out.append((np.full(len(found), own), found, d))
-        cols = [np.concatenate([o[i] for o in out]) if out else np.zeros(0) for i in range(3)]
-        return pa.table({"query_id": pa.array(cols[0].astype(np.int64)), "vec_id": pa.array(cols[1].astype(np.int64)), "score": pa.array(cols[2].astype(float))})
+    first = rows.withColumn("r", F.row_number().over(Window.partitionBy("x").orderBy("vec_id"))).filter(F.col("r") <= k + 1)
+    classes = stage(first.groupBy("x").agg(F.min("vec_id").alias("cid"), F.collect_list("vec_id").alias("ids")), "ann-classes")
+    n = classes.count()
+    if not n:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    dim = classes.select(F.size("x")).first()[0]
+    asked = stage(rows.filter(F.col("vec_id") % every == 0).join(classes.select("x", "cid"), "x").select(F.col("vec_id").alias("query_id"), "cid"), "ann-asked")
+    queries = stage(classes.join(asked.select("cid").distinct(), "cid", "left_semi").select("cid", "x"), "ann-queries")
 
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-    found = dealt.groupBy("block").applyInArrow(run, "query_id long, vec_id long, score double")
+    wanted = max(int(probe * n**0.5), trees * (k + 1))
+    pairs = _Forest(classes, n, dim, trees, leaf).candidates(queries, wanted)
+    found = _measured(pairs, classes, queries, -(-n // block), k + 1)
+    near = found.withColumn("r", F.row_number().over(Window.partitionBy("cid").orderBy("score", "of"))).filter(F.col("r") <= k + 1).drop("r")
+    near = near.join(classes.select(F.col("cid").alias("of"), "ids"), "of").select("cid", "score", F.explode("ids").alias("vec_id"))
+    out = asked.join(near, "cid").filter("vec_id != query_id")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

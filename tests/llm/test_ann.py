@@ -60,27 +60,70 @@ def test_empty_table(spark):
 
 
 def test_recall_over_blocks(spark):
-    rows = vectors(3000, 64)
-    have, want = found(ann.search(frame(spark, rows), block=500)), brute.neighbours(rows)
+    rows = vectors(6000, 64)
+    have, want = found(ann.search(frame(spark, rows), leaf=300, block=500)), brute.neighbours(rows)
     assert have.keys() == want.keys() and recall(have, want) >= 0.9
     exact = {i: np.array(v) for i, v in rows}
     assert all(d == np.sqrt(((exact[q] - exact[i]) ** 2).sum()) for q, some in have.items() for i, d in some)
 
 
+def test_recall_and_share_visited_of_fifty_thousand_rows():
+    """The forest's own strings and levels over vectors without any structure, as many as the check tool has."""
+    n, dim, rng = 51_200, 64, np.random.default_rng(11)
+    x = rng.standard_normal((n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    made = ann.strings(dim, ann.TREES, ann.rounds_for(n, dim))
+    codes = made.codes(x - x[: ann.SAMPLE].mean(axis=0))
+    sorted_ = np.sort(codes, axis=0)
+    hits, visited, queries = 0, [], rng.choice(n, 60, replace=False)
+    for q in queries.tolist():
+        for level in reversed(range(len(made.levels))):
+            low, high = made.range(codes[q], level)
+            if sum(np.searchsorted(sorted_[:, t], high[t]) - np.searchsorted(sorted_[:, t], low[t]) for t in range(made.trees)) >= ann.PROBE * n**0.5:
+                break
+        inside = ((codes >= low) & (codes < high)).any(axis=1)
+        inside[q] = False
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hits += inside[np.argpartition(d, 10)[:10]].sum()
+        visited.append(inside.mean())
+    assert hits >= 0.9 * 10 * len(queries) and np.mean(visited) < 0.25
+
+
+def test_a_query_in_an_empty_region_ascends_to_other_blocks(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i + 1, [float(v) for v in [10 + a, *b]]) for i, (a, *b) in enumerate(rng.standard_normal((2500, 12)) * 0.1)]
+    rows = [r for r in rows if r[0] % 100] + [(100, [-10.0] + [1.0] * 11), (200, rows[0][1])]
+    have, want = found(ann.search(frame(spark, rows), trees=4, leaf=64)), brute.neighbours(rows)
+    assert have.keys() == want.keys() == {100, 200} and all(len(x) == 10 for x in have.values())
+    assert have[200][0] == want[200][0]
+
+
+def test_ids_of_copies_and_an_id_with_two_vectors(spark):
+    rows = [*vectors(50), *((1000 + i, vectors(50)[7][1]) for i in range(30))]
+    assert found(ann.search(frame(spark, rows), every=7)) == brute.neighbours(rows, every=7)
+    twice = [*rows, (300, [5.0] * 16), (300, [-5.0] * 16)]
+    want = brute.neighbours([*rows, (300, [-5.0] * 16)], every=7)
+    assert found(ann.search(frame(spark, twice), every=7)) == want
+
+
 def test_recall_on_the_table(spark):
     df = spark.read.parquet(f"{SF}/embeddings.parquet")
     want = brute.neighbours([(r["vec_id"], r["embedding"]) for r in df.collect()])
     assert recall(found(ann.search(df)), want) >= 0.9
 
 
-def test_forest_takes_whole_prefix_ranges():
+def test_strings_share_prefixes_with_near_vectors():
     x = np.random.default_rng(5).standard_normal((500, 8))
-    x[100:400] = x[100]  # copies share every string
-    f = ann.Forest(x, trees=4)
-    some = f.candidates(f.labels(x[100:101])[:, 0], 10)
-    assert set(range(100, 400)) <= set(some.tolist())
-    everything = f.candidates(f.labels(x[:1])[:, 0], 10**9)
-    assert len(everything) == 500
+    made = ann.Strings(8, 4, 3)
+    codes = made.codes(x)
+    assert codes.shape == (500, 4) and made.bits == made.levels[-1] == 3 * (4 + ann.SIDES) and int(codes.max()) < 1 << made.bits
+    assert (made.codes(x * 3) == codes).all()
+    near = made.codes(x + 1e-3)
+    shared = lambda a, b: np.mean([[max(level for level, w in enumerate(made.levels) if p >> made.bits - w == q >> made.bits - w) for p, q in zip(*r, strict=True)] for r in zip(a.tolist(), b.tolist(), strict=True)])
+    assert shared(codes, near) > 11 and shared(codes, codes[::-1]) < 2
+    low, high = made.range(codes[:, 0], 1)
+    assert ((low <= codes[:, 0]) & (codes[:, 0] < high)).all() and (high - low == 1 << made.bits - 4).all()
 
 
 def test_copies_of_the_query_do_not_end_the_ascent(spark):
