@@ -14,6 +14,10 @@ hashes of its distinct words and word pairs, with their training counts, to shar
 them up over all blocks and answers each with the totals, in the block's order and so without keys. What is shuffled
 are packed arrays, a few bytes for each distinct pair of a block; a word that a third of all tokens are is one entry
 for each block, and no task holds counts beyond its shard, of which there are more the more tokens there are.
+
+Blocks and shards both grow with the corpus, so a block never addresses all shards: it addresses 2 ** ``FAN`` ranges,
+those of as many blocks are added up to one list and that addresses as many narrower ranges, and so on to the shards,
+and the totals come back along the same path. The rows of a level are then at most a constant number for each block.
 """
 
 from __future__ import annotations
@@ -34,7 +38,9 @@ from corvex.llm._common import slices, stage, utf8
 FOLDS, HELD_OUT = 5, 1
 BLOCK_TOKENS = 1 << 19
 #: Tokens for each shard, about.
-SHARD_TOKENS = 1 << 21
+SHARD_TOKENS = 1 << 20
+#: Bits of the hash by which a level tells ranges apart.
+FAN = 8
 BUCKETS, STEPS_PER_OCTAVE, EM_ROUNDS = 40, 8, 200
 END = b""
 
@@ -152,59 +158,107 @@ class _Block:
         return h[order], place[back]
 
 
-def _requests(coded: DataFrame, bits: int) -> DataFrame:
-    names = ["shard", "block", "kind", "hashes", "counts"]
+REQUESTS = "shard long, block long, kind int, hashes binary, counts binary"
+_KINDS = {"shard": pa.int64(), "block": pa.int64(), "kind": pa.int32(), "hashes": pa.binary(), "counts": pa.binary(), "n": pa.int64(), "types": pa.int64()}
+
+
+def _columns(rows: list[tuple], names: str) -> tuple[list[pa.Array], list[str]]:
+    names = [x.split()[0] for x in names.split(", ")]
+    cols = zip(*rows, strict=True) if rows else [[] for _ in names]
+    return [pa.array(c, _KINDS[n]) for c, n in zip(cols, names, strict=True)], names
+
+
+def _split(shard: int, block: int, kind: int, hashes: np.ndarray, counts: np.ndarray, used: int, width: int) -> Iterator[tuple]:
+    """A request for each narrower range of sorted hashes that share their first ``used`` bits."""
+    own = hashes << np.uint64(used) >> np.uint64(64 - width) if width else np.zeros(len(hashes), np.uint64)
+    edges = np.searchsorted(own, np.arange((1 << width) + 1, dtype=np.uint64)).tolist()
+    for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
+        if hi > lo:
+            yield shard << width | i, block, kind, _pack(hashes[lo:hi]), _narrow(counts[lo:hi])
 
+
+def _requests(coded: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1):
                 row = part.to_pylist()[0]
                 b = _Block(row)
-                out = []
                 h, place = b.pairs()
                 for kind, hashes, at in ((0, b.vocab, b.tokens), (1, h, place)):
                     counts = np.bincount(at[b.train], minlength=len(hashes))
-                    edges = np.append(np.searchsorted(hashes, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else [0], len(hashes)).tolist()
-                    for shard, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
-                        if hi > lo:
-                            out.append((shard, row["block"], kind, _pack(hashes[lo:hi]), _narrow(counts[lo:hi])))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names)
+                    yield pa.RecordBatch.from_arrays(*_columns(list(_split(0, row["block"], kind, hashes, counts, 0, width)), REQUESTS))
+
+    return coded.mapInArrow(run, REQUESTS)
+
+
+def _summed(lists: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct hashes of all lists, and the sums of their counts."""
+    hashes, counts = (np.concatenate([x[i] for x in lists]) for i in (0, 1))
+    order = np.argsort(hashes, kind="stable")
+    hashes = hashes[order]
+    new = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+    return hashes[new], np.add.reduceat(counts[order], new)
 
-    return coded.mapInArrow(run, "shard int, block long, kind int, hashes binary, counts binary")
 
+def _by_kind(group: pa.Table) -> Iterator[tuple[int, list[tuple[int, np.ndarray, np.ndarray]]]]:
+    rows: dict[int, list] = {0: [], 1: []}
+    for r in group.select(["block", "kind", "hashes", "counts"]).to_pylist():
+        rows[r["kind"]].append((r["block"], _unpack(r["hashes"]), _wide(r["counts"])))
+    return ((k, own) for k, own in rows.items() if own)
 
-ANSWERS = "block long, kind int, shard int, counts binary, n long, types long"
+
+ANSWERS = "block long, kind int, shard long, counts binary, n long, types long"
 
 
 def _answers(requests: DataFrame) -> DataFrame:
     """The totals of each request. One answer of each shard has, for words, the sum and number of the counts."""
 
     def run(key, group):
-        rows = {0: [], 1: []}
-        for r in group.select(["block", "kind", "hashes", "counts"]).to_pylist():
-            rows[r["kind"]].append((r["block"], _unpack(r["hashes"]), _wide(r["counts"])))
         out = []
-        for kind, own in rows.items():
-            if not own:
-                continue
-            hashes, counts = np.concatenate([x[1] for x in own]), np.concatenate([x[2] for x in own])
-            order = np.argsort(hashes, kind="stable")
-            s = hashes[order]
-            new = np.concatenate([[True], s[1:] != s[:-1]])
-            totals = np.add.reduceat(counts[order], np.flatnonzero(new))
-            each = np.empty(len(hashes), np.int64)
-            each[order] = totals[np.cumsum(new) - 1]
-            at = 0
+        for kind, own in _by_kind(group):
+            hashes, totals = _summed([x[1:] for x in own])
             for i, (block, h, _) in enumerate(own):
                 first = i == 0 and kind == 0
-                out.append((block, kind, key[0].as_py(), _narrow(each[at : at + len(h)]), int(totals.sum()) if first else 0, int((totals > 0).sum()) if first else 0))
-                at += len(h)
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["block", "kind", "shard", "counts", "n", "types"])
+                out.append((block, kind, key[0].as_py(), _narrow(totals[np.searchsorted(hashes, h)]), int(totals.sum()) if first else 0, int((totals > 0).sum()) if first else 0))
+        return pa.table(*_columns(out, ANSWERS))
 
     return requests.groupBy("shard").applyInArrow(run, ANSWERS)
 
 
+def _resolved(requests: DataFrame, widths: list[int], level: int, blocks: int) -> DataFrame:
+    """The answers to requests of blocks, that are by the first ``level + 1`` widths of the hash."""
+    if level + 1 == len(widths):
+        return stage(_answers(requests), "lm-answers")
+    used, width = sum(widths[: level + 1]), widths[level + 1]
+    more = -(-blocks >> FAN)
+    requests = stage(requests.withColumn("of", F.pmod(F.xxhash64("block"), F.lit(more))), "lm-requests")
+
+    def merge(key, group):
+        out = []
+        for kind, own in _by_kind(group):
+            out += _split(key[0].as_py(), key[1].as_py(), kind, *_summed([x[1:] for x in own]), used, width)
+        return pa.table(*_columns(out, REQUESTS))
+
+    def fill(key, left, right):
+        out, back = [], sorted(right.to_pylist(), key=lambda r: (r["kind"], r["shard"]))
+        n, types = (sum(r[c] for r in back) for c in ("n", "types"))
+        for kind, own in _by_kind(left):
+            hashes, _ = _summed([x[1:] for x in own])
+            totals = np.concatenate([_wide(r["counts"]) for r in back if r["kind"] == kind])
+            for block, h, _ in own:
+                out.append((block, kind, key[0].as_py(), _narrow(totals[np.searchsorted(hashes, h)]), n, types))
+                n = types = 0
+        return pa.table(*_columns(out, ANSWERS))
+
+    merged = requests.groupBy("shard", "of").applyInArrow(merge, REQUESTS)
+    found = _resolved(merged, widths, level + 1, more).select(F.shiftright("shard", width).alias("above"), F.col("block").alias("whole"), "shard", "kind", "counts", "n", "types")
+    return stage(requests.groupBy("shard", "of").cogroup(found.groupBy("above", "whole")).applyInArrow(fill, ANSWERS), "lm-answers")
+
+
+def _widths(bits: int) -> list[int]:
+    return [min(FAN, bits - at) for at in range(0, bits, FAN)] or [0]
+
+
 def _cells(pair: np.ndarray, context: np.ndarray, word: np.ndarray, n: int, types: int) -> tuple[np.ndarray, ...]:
     """The bucket, the cell and the estimates of tokens with these counts."""
     p2 = np.divide(pair, context, out=np.zeros(len(pair)), where=context > 0)
@@ -286,9 +340,9 @@ def score(docs: DataFrame, *, block_tokens: int = BLOCK_TOKENS, shard_tokens: in
     tokens both models are uniform over one type. Columns other than doc_id and text are not read.
     """
     coded = stage(blocks(docs, block_tokens), "lm-blocks")
-    total = coded.agg(F.sum("n_tokens")).first()[0] or 0
-    bits = max(0, int(np.ceil(np.log2(max(1, total) / shard_tokens))))
-    answers = stage(_answers(_requests(coded, bits)), "lm-answers")
+    size = coded.agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("blocks")).first()
+    widths = _widths(max(0, int(np.ceil(np.log2(max(1, size["tokens"] or 0) / shard_tokens)))))
+    answers = _resolved(_requests(coded, widths[0]), widths, 0, size["blocks"])
     sums = answers.agg(F.sum("n").alias("n"), F.sum("types").alias("types")).first()
     n, types = sums["n"] or 0, sums["types"] or 0
     facts = stage(_facts(coded, answers, n, types), "lm-facts")

@@ -34,6 +34,31 @@ def test_blocks_and_shards_change_nothing(spark):
     assert all(math.isclose(a[d][6], b[d][6], rel_tol=1e-7) for d in a) and set(a) == set(b)
 
 
+def test_levels_change_nothing(spark, monkeypatch):
+    """A fan of two ranges: seven levels of requests and of answers."""
+    rows = awkward(2)
+    want = scored(frame(spark, rows))
+    monkeypatch.setattr(lm, "FAN", 1)
+    assert lm._widths(7) == [1] * 7
+    found = scored(frame(spark, rows, 4), block_tokens=3000, shard_tokens=2000)
+    assert all(found[d][:5] == want[d][:5] and math.isclose(found[d][6], want[d][6], rel_tol=1e-7) for d in want) and set(found) == set(want)
+
+
+def test_a_block_addresses_a_bounded_number_of_ranges():
+    rng = np.random.default_rng(1)
+    hashes = np.unique(rng.integers(0, 1 << 64, 5000, dtype=np.uint64))
+    counts, used, own = np.arange(len(hashes)), 0, [(0, hashes, np.arange(len(hashes)))]
+    for width in lm._widths(11):
+        out = []
+        for shard, h, c in own:
+            some = list(lm._split(shard, 5, 1, h, c, used, width))
+            assert len(some) <= 1 << lm.FAN
+            out += [(s, lm._unpack(a), lm._wide(b)) for s, _, _, a, b in some]
+        own, used = out, used + width
+    assert (np.concatenate([x[1] for x in own]) == hashes).all() and (np.concatenate([x[2] for x in own]) == counts).all()
+    assert all((x[1] >> np.uint64(53) == x[0]).all() for x in own)
+
+
 def test_every_word_is_possible_and_a_frequent_pair_likelier(spark):
     train = [(d, "a b a c a b b", None, None, 1) for d in range(30)]
     held = [d for d in range(100, 400) if brute.held_out(d)][:5]
