@@ -6,7 +6,7 @@ equal registers are the likelier the more similar the sets are, so bands of them
 against the joint likelihood of their registers given both sizes, and those that may reach the threshold are verified
 on their full shingle sets.
 
-Documents with one shingle set form a class, known by its smallest doc_id; only classes are compared. Pairs inside a
+Documents with one shingle set form a class, numbered by itself; only classes are compared. Pairs inside a
 bucket of a band are never all made. Each round elects one leader in each bucket that still holds several components,
 another in each band and round, and pairs it with the members outside its component: as many pairs as members. Links
 found join components, and buckets of one component are done. After the rounds, buckets of up to ``SMALL`` members
@@ -37,6 +37,8 @@ BANDS = M // ROWS
 BASE, RATE, Q = 1.001, 20.0, (1 << 16) - 2
 WORDS, THRESHOLD = 5, 80
 ROUNDS, SMALL, SLOTS = 3, 48, 1 << 20
+#: Of a shared token, members outside its main component that one task holds against all, about.
+OTHERS = 256
 #: Below the threshold by five standard errors of the estimate.
 MARGIN = 5 * (0.8 * 0.2 / M) ** 0.5
 
@@ -110,21 +112,26 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
 
 
 def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, hi and lo (a 128-bit hash of the whole set) and the registers of each row of docs."""
+    """doc_id, h (a hash of the text), n_shingles, hi and lo (a 128-bit hash of the whole set) and the registers of each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 n, hashes, regs = [], [], []
-                for text in utf8(part.column(1)):
+                for text in utf8(part.column(2)):
                     s = shingles(text, words)
                     n.append(len(s))
                     hashes.append(xxhash.xxh3_128_digest(s.tobytes()))
                     regs.append(registers(s).tobytes() if len(s) else b"")
                 both = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(regs, pa.binary())], ["doc_id", "n_shingles", "hi", "lo", "regs"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(regs, pa.binary())], ["doc_id", "h", "n_shingles", "hi", "lo", "regs"])
+
+    return _keyed(docs).mapInArrow(run, "doc_id long, h long, n_shingles long, hi long, lo long, regs binary")
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, hi long, lo long, regs binary")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, h and text: what tells rows apart, so that rows of one id and different texts are documents of their own."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
 
 
 def _bands(reps: DataFrame) -> DataFrame:
@@ -220,27 +227,21 @@ class _Search:
         return True
 
 
-def classes(docs: DataFrame, *, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row of docs.
-
-    Two documents are linked if 100 * (shingles of both) >= threshold * (shingles of either); component_id is the
-    smallest doc_id reachable by links, and kept is whether it is the document's own. A null or empty text, or one
-    of blanks alone, has no shingles and no links. Rows of one doc_id and text count as one document; a null doc_id
-    is never a component_id, unless the component has no other.
-    """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    sk = stage(sketches(texts, words), "near-sketches")
-    groups = stage(sk.filter("n_shingles > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep")), "near-classes")
-    own = groups.select("hi", "lo", "rep").filter("rep is not null")
-    reps = sk.select(F.col("doc_id").alias("rep"), "n_shingles", "hi", "lo", "regs").join(own, ["hi", "lo", "rep"], "left_semi").dropDuplicates(["rep", "hi", "lo"]).select("rep", "n_shingles", "regs")
+def _labelled(docs: DataFrame, words: int, threshold: int) -> DataFrame:
+    """doc_id, h, n_shingles, label and component_id of each row; rows without shingles have no label."""
+    sk = stage(sketches(docs, words), "near-sketches")
+    some = sk.filter("n_shingles > 0")
+    # a class is a shingle set, and a row of its least doc_id stands for it
+    sets = some.groupBy("hi", "lo").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("own"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"))
+    reps = stage(sets.select("hi", "lo", F.col("own.doc_id").alias("least"), F.col("own.h").alias("h"), "n_shingles", "regs", F.monotonically_increasing_id().alias("rep")), "near-classes")
 
-    reps = stage(reps, "near-reps")
     bands = _bands(reps)
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
     members = stage(bands.join(shared, "key"), "near-members")
-    inside = members.select("rep").distinct()
-    held = reps.join(inside, "rep", "left_semi")
-    texts = stage(held.join(_text_of(texts, inside), "rep"), "near-texts")
+    held = reps.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "n_shingles", "regs", "least", F.col("h").alias("of"))
+    rows = _keyed(docs)
+    texts = rows.join(held, (rows["h"] == held["of"]) & rows["doc_id"].eqNullSafe(held["least"])).dropDuplicates(["rep"])
+    texts = stage(texts.select("rep", "n_shingles", "regs", "text"), "near-texts")
 
     s = _Search(members, texts, words, threshold)
     pairs = stage(_leaders(members, s.labels, 0), "near-candidates")
@@ -254,15 +255,25 @@ def classes(docs: DataFrame, *, words: int = WORDS, threshold: int = THRESHOLD)
     s.link(_all_pairs(s.members, s.labels, SMALL))
     s.link(_by_prefixes(s))
 
-    of_class = groups.join(s.labels, "rep", "left").select("hi", "lo", F.coalesce("label", "rep").alias("component_id"))
-    out = sk.select("doc_id", "n_shingles", "hi", "lo").join(of_class, ["hi", "lo"], "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    of_class = stage(reps.select("rep", "hi", "lo", "least").join(s.labels, "rep", "left").select("hi", "lo", "least", F.coalesce("label", "rep").alias("label")), "near-labels")
+    least = of_class.groupBy("label").agg(F.min("least").alias("component_id"))
+    known = of_class.select("hi", "lo", "label").join(least, "label")
+    out = some.select("doc_id", "h", "n_shingles", "hi", "lo").join(known, ["hi", "lo"]).drop("hi", "lo")
+    none = sk.filter("n_shingles = 0").select("doc_id", "h", "n_shingles", F.lit(None).cast("long").alias("label"), F.col("doc_id").alias("component_id"))
+    return out.select(*none.columns).union(none)
 
 
-def _text_of(texts: DataFrame, inside: DataFrame) -> DataFrame:
-    """The text of each doc_id in inside; of rows that share an id, any."""
-    return texts.withColumnRenamed("doc_id", "rep").join(inside, "rep", "left_semi")
+def classes(docs: DataFrame, *, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for each row of docs.
+
+    Two documents are linked if 100 * (shingles of both) >= threshold * (shingles of either); component_id is the
+    smallest doc_id reachable by links, and kept is whether it is the document's own. A null or empty text, or one
+    of blanks alone, has no shingles and no links. Rows of one doc_id and text count as one document, and rows of one
+    doc_id with different texts are compared each; a null doc_id is compared like others, but is never a component_id,
+    unless the component has no other. An empty table gives no rows.
+    """
+    found = _labelled(docs, words, threshold).select("doc_id", "n_shingles", "component_id")
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 @lru_cache(maxsize=2)
@@ -280,7 +291,7 @@ def _by_prefixes(s: _Search) -> DataFrame:
     m = s.members.join(s.labels, "rep")
     large = m.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("c")).filter(f"low != high and c > {SMALL}").select("key")
     inside = s.members.join(large, "key").select("rep").distinct()
-    own = stage(s.texts.select("rep", "text").join(inside, "rep", "left_semi"), "near-dense")
+    own = stage(s.texts.select("rep", "text").join(inside, "rep", "left_semi").join(s.labels, "rep").select("rep", "text", "label"), "near-dense")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -300,29 +311,40 @@ def _by_prefixes(s: _Search) -> DataFrame:
         counts = _counts_at(path)
         for batch in batches:
             for part in slices(batch):
-                rows = []
-                for rep, text in zip(part.column(0).to_pylist(), utf8(part.column(1)), strict=True):
+                size, tokens = [], []
+                for text in utf8(part.column(1)):
                     x = shingles(text, words)
-                    n = len(x)
+                    size.append(len(x))
                     x = x[np.lexsort((x, counts[(x & np.uint64(SLOTS - 1)).astype(np.int64)]))]
-                    rows.append((rep, n, x[: n - -(-threshold * n // 100) + 1].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)], ["rep", "n", "first"])
+                    tokens.append(x[: len(x) - -(-threshold * len(x) // 100) + 1].view(np.int64))
+                each = [len(t) for t in tokens]
+                rep, label = (np.repeat(part.column(i).to_numpy(), each) for i in (0, 2))
+                at = np.concatenate([np.arange(n) for n in each])
+                yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(label), pa.array(np.repeat(size, each)), pa.array(at), pa.array(np.concatenate(tokens))], ["rep", "label", "n", "at", "token"])
 
-    heads = stage(own.mapInArrow(prefix, "rep long, n long, first array<long>").join(s.labels, "rep"), "near-prefixes")
-    tokens = heads.select("*", F.posexplode("first").alias("at", "token"))
+    tokens = stage(own.mapInArrow(prefix, "rep long, label long, n long, at long, token long"), "near-prefixes")
     # of each token, the component that most have: others are held against all, so that its own members make no pairs
-    most = tokens.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max_by("label", "c").alias("main"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("token", "main")
-    of = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("rep", "n", "at", "first", "label")]
-    a = tokens.join(most, "token").filter("label != main").select("token", "main", *of("a"))
-    b = tokens.select(F.col("token").alias("other"), *of("b"))
-    # the token is the first that both have; what stands before it in either set is not in the other
+    most = tokens.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max_by("label", "c").alias("main"), F.count(F.lit(1)).alias("k"), (F.sum("c") - F.max("c")).alias("others")).filter("k > 1")
+    # a token that thousands share is dealt out by those others, and all come to each part
+    most = stage(most.select("token", "main", F.ceil(F.col("others") / OTHERS).cast("int").alias("parts")), "near-tokens")
+    of = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("rep", "n", "at", "label")]
+    a = tokens.join(most, "token").filter("label != main").select("token", "main", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), *of("a"))
+    b = tokens.join(most, "token").select("token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *of("b"))
+    # of a pair's common tokens the first passes: what stands before it in either set is not in the other
     room = f"{100 + threshold} * least(n_a - at_a, n_b - at_b) >= {threshold} * (n_a + n_b)"
-    near = f"label_a != label_b and (label_b = main or rep_a < rep_b) and {room} and array_intersect(first_a, first_b)[0] = token"
-    pairs = a.join(b, (a["token"] == b["other"]) & F.expr(near))
+    near = f"label_a != label_b and (label_b = main or rep_a < rep_b) and {room}"
+    pairs = a.join(b, ["token", "part"]).filter(near)
     return pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
 
 
 def keep(docs: DataFrame, *, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
-    """One document of each component, with all its columns."""
-    kept = classes(docs, words=words, threshold=threshold).filter("kept").select(F.col("doc_id").alias("of")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["of"]), "left_semi")
+    """One document of each component, with all its columns: that of the smallest doc_id.
+
+    Of several texts under that id the one of the least hash stays, and a component without any doc_id keeps one too.
+    Rows of one doc_id and text stay together, and documents without shingles all stay.
+    """
+    found = _labelled(docs, words, threshold)
+    best = found.filter("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("own")).select("own.doc_id", "own.h")
+    kept = best.union(found.filter("label is null").select("doc_id", "h")).distinct().select(F.col("doc_id").alias("of"), "h")
+    h = F.xxhash64(docs["text"])
+    return docs.join(kept, (h == kept["h"]) & docs["doc_id"].cast("long").eqNullSafe(kept["of"]), "left_semi")

@@ -53,6 +53,36 @@ def test_repeated_rows_nulls_and_empty_table(spark):
     assert got(near_dup.classes(frame(spark, [])), *COLUMNS) == []
 
 
+def test_null_ids_and_ids_with_several_texts_are_compared(spark):
+    rng = random.Random(6)
+    a, b, c = (words(rng, 100) for _ in range(3))
+    one = lambda i, t: (i, t, None, None, None)
+    rows = [one(None, a + " x"), one(None, a + " y"), one(5, b), one(5, c), one(3, b + " z"), one(9, c + " z"), one(None, b + " q")]
+    found = got(near_dup.classes(frame(spark, rows)), "doc_id", "component_id", "kept")
+    assert found == wanted([(None, None, True), (None, None, True), (5, 3, False), (5, 5, True), (3, 3, True), (9, 5, False), (None, 3, False)])
+    kept = got(near_dup.keep(frame(spark, [*rows, one(None, a + " x"), one(None, ""), one(None, None), one(4, " ")])), "doc_id", "text")
+    first = [t for d, t in kept if d is None and t and t.startswith(a)]
+    assert len(set(first)) == 1 and len(first) in (1, 2)
+    assert [k for k in kept if k[1] not in first] == wanted([(3, b + " z"), (5, c), (None, ""), (None, None), (4, " ")])
+
+
+def test_a_long_text_and_a_token_that_thousands_share(spark, monkeypatch):
+    """Prefixes of 20,000 shingles, and short texts of which all have one shingle in common."""
+    monkeypatch.setattr(near_dup, "SMALL", 2)
+    monkeypatch.setattr(near_dup, "OTHERS", 16)
+    rng = random.Random(12)
+    long = words(rng, 20_000, 10**7).split()
+    rows = []
+    for i in range(6):
+        own = list(long)
+        for _ in range(300 * i):
+            own[rng.randrange(len(own))] = f"z{rng.randrange(10**9)}"
+        rows.append((i, " ".join(own), None, None, None))
+    tail = "one two three four five six seven"
+    rows += [(100 + i, f"{tail} v{i % 700}" + " w" * (i % 3 == 0), None, None, None) for i in range(1500)]
+    assert got(near_dup.classes(frame(spark, rows), words=4), *COLUMNS) == wanted(brute.near_dup(pairs(rows), 4))
+
+
 def test_one_of_each_group_stays(spark):
     rows = awkward()
     out = near_dup.keep(frame(spark, rows, clashing=True), words=4)
