@@ -192,6 +192,39 @@ def quality(docs) -> list[tuple]:
     return out
 
 
+def least_determinant(own, floors, support: float, steps: int, quantile) -> tuple:
+    """The mean, the covariance and the log determinant by concentration from four starts."""
+    floor = np.diag(np.square(floors))
+    m = quantile(own, 0.5)
+    mad = 1.4826 * quantile(np.abs(own - m), 0.5)
+    width = np.sqrt(mad**2 + np.diag(floor))
+    z = (own - m) / width
+    u = z / np.sqrt(np.maximum((z**2).sum(axis=1, keepdims=True), 1e-12))
+    starts = [(m, np.diag(mad**2) + floor), (own.mean(axis=0), np.cov(own.T, bias=True) + floor), (m, own.shape[1] * (u.T @ u) / len(own) * np.outer(width, width) + floor)]
+
+    def step(m, cov):
+        d = np.einsum("ij,jk,ik->i", own - m, np.linalg.inv(cov), own - m)
+        some = own[d <= quantile(d, support)]
+        cov = np.cov(some.T, bias=True) + floor
+        return some.mean(axis=0), cov, np.linalg.slogdet(cov)[1]
+
+    near = own[(z**2).sum(axis=1) <= quantile((z**2).sum(axis=1), 0.5)]
+    starts.append((near.mean(axis=0), np.cov(near.T, bias=True) + floor))
+    ends = []
+    for m, cov in starts:
+        for _ in range(steps):
+            m, cov, det = step(m, cov)
+        ends.append((m, cov, det))
+    best = min(ends, key=lambda e: e[2])
+    for _ in range(30):
+        new = step(*best[:2])
+        fell = new[2] < best[2] - 1e-6
+        best = new if new[2] < best[2] else best
+        if not fell:
+            break
+    return best
+
+
 def mcd(stats: list[dict], floors, support: float, steps: int, least: int) -> dict:
     """doc_id to squared robust distance, or None: concentration steps over each group's transformed statistics."""
     share = lambda part, whole: math.asin(math.sqrt(min(1.0, part / max(whole, 1))))
@@ -205,14 +238,8 @@ def mcd(stats: list[dict], floors, support: float, steps: int, least: int) -> di
         own = np.array([x[r["doc_id"]] for r in clean if group[r["doc_id"]] == g]).reshape(-1, 5)
         if len(own) < least:
             continue
-        floor = np.diag(np.square(floors))
-        m = quantile(own, 0.5)
-        cov = np.diag((1.4826 * quantile(np.abs(own - m), 0.5)) ** 2) + floor
         d2 = lambda v, m, cov: np.einsum("ij,jk,ik->i", v - m, np.linalg.inv(cov), v - m)
-        for _ in range(steps):
-            d = d2(own, m, cov)
-            some = own[d <= quantile(d, support)]
-            m, cov = some.mean(axis=0), np.cov(some.T, bias=True) + floor
+        m, cov, _ = least_determinant(own, floors, support, steps, quantile)
         scale = max(1.0, quantile(d2(own, m, cov), 0.5) / 4.351)
         ids = [i for i in x if group[i] == g]
         out |= dict(zip(ids, (d2(np.array([x[i] for i in ids]), m, cov) / scale).tolist(), strict=True))

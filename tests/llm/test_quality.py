@@ -54,6 +54,37 @@ def test_verdicts_against_brute_force(spark):
     assert all(found[i]["kept"] for i in [*range(400), *range(1000, 1005)])  # plain ones, and those without an estimate
 
 
+def test_determinants_against_exhaustive_search(spark):
+    """Small groups, of which every subset of the support's size is tried."""
+    import itertools
+
+    import numpy as np
+
+    rng, rows, points = np.random.default_rng(4), [], {}
+    for g in range(12):
+        x = rng.standard_normal((13, 5)) * [0.5, 0.2, 0.1, 0.3, 0.3]
+        x[: g % 4] += rng.choice([-3.0, 3.0], 5)
+        points[f"g{g}"] = x
+        rows += [(len(rows) + i, f"g{g}", *map(float, p)) for i, p in enumerate(x)]
+    clean = spark.createDataFrame(rows, "doc_id long, g string, " + ", ".join(f"{x} double" for x in quality.FEATURES))
+    fit, _ = quality.estimates(clean, least=10)
+    found = dict(got(fit, "g", "log_det"))
+    floor, size, gaps = np.diag(np.square(quality.FLOORS)), math.ceil(quality.SUPPORT * 13), []
+    for g, x in points.items():
+        least = min(np.linalg.slogdet(np.cov(x[list(some)].T, bias=True) + floor)[1] for some in itertools.combinations(range(13), size))
+        gaps.append(found[g] - least)
+    assert min(gaps) > -1e-6 and max(gaps) < 0.35 and sum(gap < 1e-6 for gap in gaps) >= 6
+
+
+def test_rows_of_one_id_have_verdicts_of_their_own(spark):
+    rows = mixed(random.Random(2))
+    junk = next(r for r in rows if r[0] == 402)
+    out = quality.keep(frame(spark, [*rows, (7, junk[1], "en", "s1", 1), (None, junk[1], "en", "s1", 1), (None, rows[0][1], rows[0][2], rows[0][3], 1)]))
+    found = got(out, "doc_id", "text")
+    assert found.count((7, rows[7][1])) == 1 and (7, junk[1]) not in found
+    assert [t for d, t in found if d is None] == [rows[0][1]]
+
+
 def test_it_withstands_many_outliers(spark):
     """A fifth of a group is junk, which would draw a plain mean and covariance to itself."""
     rng = random.Random(1)
