@@ -48,7 +48,8 @@ class IndexConfig:
     max_word_length: int = 20
     min_wildcard_length: int = 1
     max_wildcard_term_expansion: int = 30
-    phrase_threshold: int = 1000
+    phrase_threshold: int | None = None
+    max_batches: int = 16
     result_threshold: int = 5000
     decode_html_entities: bool = True
     scoring_method: str = "okapi"

@@ -63,7 +63,8 @@ def decode_entities(text: Column) -> Column:
 
 def clean(text: Column, config: IndexConfig) -> Column:
     """text without tags, entities, accents and upper case."""
-    out = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), TAG, " ")
+    out = F.coalesce(text.cast("string"), F.lit(""))
+    out = F.when(F.contains(out, F.lit("<")), F.regexp_replace(out, TAG, " ")).otherwise(out)
     if config.decode_html_entities:
         out = decode_entities(out)
     return fold(out, config.charset)
@@ -72,9 +73,8 @@ def clean(text: Column, config: IndexConfig) -> Column:
 def terms(text: Column, config: IndexConfig) -> Column:
     """The array of a text's terms, in order."""
     stopped = sorted(stop_words(config.stoplist))
-    out = F.transform(F.split(clean(text, config), "[^a-z0-9]+"), lambda t: F.substring(t, 1, config.max_word_length))
-    keep = (lambda t: (t != "") & ~t.isin(stopped)) if stopped else (lambda t: t != "")
-    return F.filter(out, keep)
+    out = F.regexp_extract_all(clean(text, config), F.lit(f"([a-z0-9]{{1,{config.max_word_length}}}+)[a-z0-9]*+"), F.lit(1))
+    return F.filter(out, lambda t: ~t.isin(stopped)) if stopped else out
 
 
 def query_terms(text: str, config: IndexConfig) -> tuple[list[str], list[str]]:

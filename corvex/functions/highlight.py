@@ -15,7 +15,8 @@ def pattern(terms: list[str]) -> str:
 
 
 def highlight(text: Column, terms: list[str], before: str = "<b><u>", after: str = "</u></b>") -> Column:
-    return F.regexp_replace(text, pattern(terms), f"{before}$1{after}")
+    plain = lambda x: x.replace("\\", "\\\\").replace("$", "\\$")
+    return F.regexp_replace(text, pattern(terms), f"{plain(before)}$1{plain(after)}")
 
 
 def count(text: Column, terms: list[str]) -> Column:

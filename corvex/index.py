@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from corvex.config import GeneralError, IndexConfig, QueryError
 from corvex.functions.highlight import highlight
 from corvex.operators import build
-from corvex.operators.search import search, top
+from corvex.operators.search import any_of, search, top
+from corvex.plans.planner import plan
 from corvex.sources.files import Files
 from corvex.sources.loaders import numbered
 from corvex.sources.store import Manifest, Store
@@ -20,6 +21,10 @@ log = logging.getLogger(__name__)
 MASK_KINDS = ("and_mask", "or_mask", "not_mask")
 
 
+def _less(sums: dict[str, float], gone: dict[str, float]) -> dict[str, float]:
+    return {f: s - gone.get(f, 0.0) for f, s in sums.items()}
+
+
 class SearchIndex:
     """An index at a path. With a config it may be new; without one it must exist, and what it stored counts."""
 
@@ -57,6 +62,7 @@ class SearchIndex:
         """The tables of the newest version, which another writer may have published."""
         m = self.store.manifest()
         if not self._cached or self._cached[0] != m.version:
+            self.flush_cache()
             self._cached = (m.version, self.store.tables(m))
         return self._cached[1]
 
@@ -88,13 +94,17 @@ class SearchIndex:
     def add_table(self, docs: DataFrame) -> int:
         """Adds all rows. A key that is there already is replaced, and gets a new id; of equal keys the last counts."""
         rows = docs.select(F.col(self.config.key).alias("_key"), *(F.col(f).cast("string").alias(f) for f in self.config.doc_fields)).filter("_key is not null")
-        if self._pending is not None:
-            self._pending.append(rows)
-            self._pending_rows += rows.count()
-            if self._pending_rows >= self.config.update_commit_interval:
-                self._flush()
-            return rows.count()
-        return self._commit([rows])
+        if self._pending is None:
+            return self._commit([rows])
+        folder = self.store.folder("staging")  # what is added now counts, whatever becomes of the source
+        rows.write.parquet(folder)
+        rows = self.spark.read.schema(rows.schema).parquet(folder)
+        n = rows.count()
+        self._pending.append(rows)
+        self._pending_rows += n
+        if self._pending_rows >= self.config.update_commit_interval:
+            self._flush()
+        return n
 
     def begin_add(self) -> SearchIndex:
         self._pending, self._pending_rows = [], 0
@@ -120,30 +130,40 @@ class SearchIndex:
         return n
 
     def _commit(self, parts: list[DataFrame]) -> int:
-        m = self.store.manifest()
+        """Writes a batch: numbered documents first, then their terms, from which all tables are made."""
+        m, store = self.store.manifest(), self.store
         rows = None
         for i, part in enumerate(parts):
             part = part.withColumn("_seq", F.struct(F.lit(i), F.monotonically_increasing_id()))
             rows = part if rows is None else rows.unionByName(part)
         fields = list(self.config.doc_fields)
         last = rows.groupBy("_key").agg(F.max_by(F.struct(*fields), "_seq").alias("d")).select("_key", *(F.col("d")[f].alias(f) for f in fields))
-        docs = numbered(last, ["_key"], "doc_id", m.max_id).withColumn("doc_key", F.col("_key").cast("string"))
+        docs = numbered(last, ["_key"], "doc_id", m.max_id, store.folder("staging")).withColumn("doc_key", F.col("_key").cast("string"))
         found = docs.agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("top")).first()
         if not found["n"]:
+            store.clear_staging()
             return 0
-        old = self.store.live(m).join(docs.select("doc_key"), "doc_key", "left_semi").select("doc_id") if m.batches else None
-        graves = m.tombstones
-        if old is not None and not old.isEmpty():
-            grave = self.store.folder("tombstones")
-            old.write.parquet(grave)
-            graves = (*graves, grave)
+        graves, sums = m.tombstones, dict(store.live_sums(m))
+        if m.batches:
+            grave = store.folder("tombstones")
+            store.live(m).join(docs.select("doc_key"), "doc_key", "left_semi").select("doc_id").write.parquet(grave)
+            old = self.spark.read.schema("doc_id long").parquet(grave)
+            if not old.isEmpty():
+                graves = (*graves, grave)
+                sums = _less(sums, store.sums_of(m, old))
+        folder = store.folder("staging")
         analysed = build.field_terms(docs, self.config)
-        batch = self.store.write_batch(docs.select("doc_id", "doc_key"), build.postings(analysed, self.config.proximity_index), build.weights(analysed))
-        docs.unpersist()
-        new = Manifest(**{**m.__dict__, "max_id": found["top"], "batches": (*m.batches, batch), "tombstones": graves})
-        self.store.publish(m, max_id=new.max_id, batches=new.batches, tombstones=graves, averages=self.store.averages(new))
-        log.info("added %d documents to %s", found["n"], self.config.collection)
-        return found["n"]
+        analysed.write.parquet(folder)
+        analysed = self.spark.read.schema(analysed.schema).parquet(folder)
+        batch, n, own = store.write_batch(docs.select("doc_id", "doc_key"), build.postings(analysed, self.config.proximity_index), build.weights(analysed))
+        sums = {f: sums.get(f, 0.0) + own.get(f, 0.0) for f in {*sums, *own}}
+        averages = {f: s / found["top"] for f, s in sums.items()}
+        new = Manifest(**{**m.__dict__, "max_id": found["top"], "batches": (*m.batches, batch), "tombstones": graves, "averages": averages, "sums": sums, "sizes": {**m.sizes, batch: n}})
+        new = store.merged(new, self.config.max_batches)
+        store.publish(m, **{k: v for k, v in new.__dict__.items() if k != "version"})
+        store.clear_staging()
+        log.info("added %d documents to %s", n, self.config.collection)
+        return n
 
     # --- removing ---
 
@@ -159,9 +179,10 @@ class SearchIndex:
         grave = self.store.folder("tombstones")
         own = keys.select(F.col(key).cast("string").alias("doc_key"))
         self.store.live(m).join(own, "doc_key", "left_semi").select("doc_id").write.parquet(grave)
-        n = self.spark.read.schema("doc_id long").parquet(grave).count()
+        dead = self.spark.read.schema("doc_id long").parquet(grave)
+        n = dead.count()
         if n:
-            self.store.publish(m, tombstones=(*m.tombstones, grave))
+            self.store.publish(m, tombstones=(*m.tombstones, grave), sums=_less(self.store.live_sums(m), self.store.sums_of(m, dead)))
         return n
 
     def optimize(self) -> None:
@@ -169,9 +190,9 @@ class SearchIndex:
         m = self.store.manifest()
         live = self.store.live(m)
         keep = lambda df: df.join(live.select("doc_id"), "doc_id", "left_semi")
-        batch = self.store.write_batch(live, keep(self.store.postings(m)).select(*build.POSTINGS.fieldNames()), keep(self.store.doc_weights(m)).select(*build.WEIGHTS.fieldNames()))
-        new = Manifest(**{**m.__dict__, "batches": (batch,), "tombstones": ()})
-        self.store.publish(m, batches=new.batches, tombstones=(), averages=self.store.averages(new))
+        batch, n, sums = self.store.write_batch(live, keep(self.store.postings(m)).select(*build.POSTINGS.fieldNames()), keep(self.store.doc_weights(m)).select(*build.WEIGHTS.fieldNames()))
+        averages = {f: s / m.max_id for f, s in sums.items()} if m.max_id else {}
+        self.store.publish(m, batches=(batch,), tombstones=(), averages=averages, sums=sums, sizes={batch: n})
 
     # --- looking up ---
 
@@ -198,6 +219,37 @@ class SearchIndex:
     def doc_ids(self, keys: DataFrame) -> DataFrame:
         return keys.select(F.col("doc_key").cast("string").alias("doc_key")).join(self.tables().docs, "doc_key").orderBy("doc_id")
 
+    def fetch(self, key, field: str) -> str | None:
+        """One field of the source's row of a key, or None."""
+        if self._source is None:
+            raise GeneralError("there is no source to fetch from")
+        if field not in self.config.doc_fields:
+            raise GeneralError(f"there is no field {field}")
+        row = self._source.filter(F.col(self.config.key).cast("string") == str(key)).select(F.col(field).cast("string").alias("v")).first()
+        return row["v"] if row else None
+
+    def warm(self, query: dict[str, str]) -> int:
+        """Holds the postings of a query's terms in the executors' memory, or on their disks, for later searches.
+
+        Only searches whose terms are all held use them. Returns how many postings there are. They are forgotten with
+        the version that they belong to, and by ``flush_cache``.
+        """
+        t = self.tables()
+        pairs = plan(query, self.config, t.term_stats).needed()
+        old = t.hot
+        pairs |= old[0] if old else set()
+        rows = t.postings.filter(any_of(sorted(pairs))).persist()
+        n = rows.count()
+        t.hot = (frozenset(pairs), rows)
+        if old:
+            old[1].unpersist()
+        return n
+
+    def flush_cache(self) -> None:
+        if self._cached and self._cached[1].hot:
+            self._cached[1].hot[1].unpersist()
+        self._cached = None
+
     def stat(self, name: str) -> int | None:
         """total_words: the sum of document frequencies over all fields. Other names: None."""
         if name != "total_words":
@@ -212,7 +264,7 @@ class SearchIndex:
             raise GeneralError("a mask's name has 1 to 100 characters")
         m = self.store.manifest()
         folder = self.store.folder("masks")
-        self._ids(keys).coalesce(8).write.parquet(folder)
+        self._ids(keys).write.parquet(folder)
         self.store.publish(m, masks={**m.masks, name: folder})
         return self.spark.read.schema("doc_id long").parquet(folder).count()
 
@@ -253,7 +305,10 @@ class SearchIndex:
     # --- searching ---
 
     def find(self, query: dict[str, str], *, scored: bool = True, k: int | None = None, **masks) -> DataFrame:
-        """The result as a DataFrame, which may be empty: doc_id, doc_key, and score if scored. Nothing runs yet."""
+        """The result as a DataFrame, which may be empty: doc_id, doc_key, and score if scored.
+
+        Only document frequencies are looked up now, and with a ``phrase_threshold`` the candidates of phrases counted.
+        """
         if unknown := set(masks) - {*MASK_KINDS, "or_mask_set", "scoring_method"}:
             raise GeneralError(f"unknown arguments: {', '.join(sorted(unknown))}")
         method = masks.get("scoring_method") or self.config.scoring_method
@@ -270,11 +325,14 @@ class SearchIndex:
             stopped = self.last_plan.stopped
             raise QueryError(f"{self.config.message('no_results_stop')} {', '.join(stopped)}." if stopped else self.config.message("no_results"))
 
-    def search(self, query: dict[str, str] | None, *, k: int = 1000, **masks) -> dict[str, float]:
-        """Key to score of the k best documents, best first; a QueryError if there is none."""
+    def search(self, query: dict[str, str] | None, *, k: int | None = None, **masks) -> dict[str, float]:
+        """Key to score of all matching documents or the k best, best first; a QueryError if there is none."""
         if not query:
             raise QueryError(self.config.message("empty_query"))
-        found = {r["doc_key"]: r["score"] for r in self.find(query, k=k, **masks).collect()}
+        rows = self.find(query, k=k, **masks)
+        if k is None:
+            rows = rows.orderBy(F.desc("score"), "doc_key")
+        found = {r["doc_key"]: r["score"] for r in rows.toLocalIterator()}
         self._raise_if_none(found)
         return found
 

@@ -1,10 +1,10 @@
-"""From documents to postings: term frequencies, positions and weights, with one shuffle."""
+"""From documents to postings: term frequencies, positions and weights, in each document's own row, without a shuffle."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,7 +26,7 @@ STATS = T.StructType([T.StructField("field", T.StringType()), T.StructField("ter
 WEIGHTS = T.StructType([T.StructField("field", T.StringType()), T.StructField("doc_id", T.LongType()), T.StructField("n_terms", T.IntegerType()), T.StructField("w_d", T.DoubleType())])
 
 
-@dataclass(frozen=True)
+@dataclass
 class Tables:
     """What a search reads. ``docs`` are the live ones; statistics include the removed until ``optimize``."""
 
@@ -38,6 +38,8 @@ class Tables:
     #: field to average weight
     averages: dict[str, float]
     max_id: int
+    #: field and term pairs, and their postings in memory
+    hot: tuple[frozenset, DataFrame] | None = None
 
 
 def field_terms(docs: DataFrame, config: IndexConfig) -> DataFrame:
@@ -53,10 +55,29 @@ def weights(analysed: DataFrame) -> DataFrame:
 
 def postings(analysed: DataFrame, positions: bool = True) -> DataFrame:
     """A row for each field, term and document, with the document's weight, which no search then needs to join."""
-    rows = analysed.select("field", "doc_id", "w_d", F.posexplode("terms").alias("pos", "term"))
-    places = F.sort_array(F.collect_list(F.col("pos") + 1)) if positions else F.lit(None).cast("array<int>")
-    out = rows.groupBy("field", "term", "doc_id", "w_d").agg(F.count(F.lit(1)).cast("int").alias("tf"), *([places.alias("positions")] if positions else []))
-    return out.select("field", "term", "doc_id", "tf", (F.col("positions") if positions else places).alias("positions"), "w_d")
+    return analysed.select("field", "doc_id", "w_d", F.explode(_distinct(F.col("terms"))).alias("t")).select("field", "t.term", "doc_id", F.size("t.at").alias("tf"), (F.col("t.at") if positions else F.lit(None).cast("array<int>")).alias("positions"), "w_d")
+
+
+def _let(value: Column, body) -> Column:
+    """body(v) with v bound to value, which is so evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _distinct(terms_: Column) -> Column:
+    """term and at (its places from 1) of each distinct term of an array: all is in the document's own row.
+
+    Terms are sorted with their places, so that those of one term are a slice.
+    """
+
+    def slices(s: Column) -> Column:
+        term, place = s.getField("t"), s.getField("p")
+        heads = lambda names: F.filter(F.sequence(F.lit(1), F.size(names)), lambda i: (i == 1) | (F.element_at(names, i) != F.element_at(names, i - 1)))
+        ends = lambda at, names: F.transform(at, lambda i, k: F.struct(i.alias("i"), (F.coalesce(F.try_element_at(at, k + 2), F.size(names) + 1) - i).alias("n")))
+        each = lambda names, places: _let(heads(names), lambda at: F.transform(ends(at, names), lambda x: F.struct(F.element_at(names, x["i"]).alias("term"), F.slice(places, x["i"], x["n"]).alias("at"))))
+        return _let(term, lambda names: _let(place, lambda places: each(names, places)))
+
+    ordered = F.sort_array(F.transform(terms_, lambda t, i: F.struct(t.alias("t"), (i + 1).alias("p"))))
+    return F.when(F.size(terms_) > 0, _let(ordered, slices))
 
 
 def term_stats(posted: DataFrame) -> DataFrame:

@@ -31,7 +31,8 @@ def in_order(positions: list[Column], slop: int) -> Column:
     return F.size(at) > 0
 
 
-def _any(pairs: list[tuple[str, str]]) -> Column:
+def any_of(pairs: list[tuple[str, str]]) -> Column:
+    """Whether a row's field and term are one of the pairs."""
     by_field: dict[str, list[str]] = {}
     for name, term in pairs:
         by_field.setdefault(name, []).append(term)
@@ -43,7 +44,9 @@ def _any(pairs: list[tuple[str, str]]) -> Column:
 
 def _hits(t: Tables, p: Plan, scored: bool) -> tuple[DataFrame, list[Column]]:
     """One row for each document that has any of the terms, with the score, and the Column of each leaf's flag."""
-    hits = t.postings.filter(_any(sorted(p.needed())))
+    needed = p.needed()
+    source = t.hot[1] if t.hot and needed <= t.hot[0] else t.postings
+    hits = source.filter(any_of(sorted(needed)))
     aggs: list[Column] = []
     flags: list[Column] = []
     for i, leaf in enumerate(p.leaves):
@@ -67,8 +70,8 @@ def _hits(t: Tables, p: Plan, scored: bool) -> tuple[DataFrame, list[Column]]:
             average = t.averages.get(name) or 1.0
             tf = (K1 + 1) * F.col("tf") / (K1 * ((1 - B) + B * F.col("w_d") / average) + F.col("tf"))
             score = score + F.when((F.col("field") == name) & (F.col("term") == term), tf * w).otherwise(0.0)
-        aggs += [F.sum(score).alias("score"), F.max(_any(sorted(weights))).alias("scorable")]
-    return hits.groupBy("doc_id").agg(*aggs), flags
+        aggs += [F.sum(score).alias("score"), F.max(any_of(sorted(weights))).alias("scorable")]
+    return hits.groupBy("doc_id").agg(*aggs or [F.count(F.lit(1)).alias("hits")]), flags  # all words may be stop words
 
 
 def search(t: Tables, query: dict[str, str], *, masks: list[tuple[DataFrame, bool]] = (), scored: bool = True, source: DataFrame | None = None) -> tuple[DataFrame, Plan]:
@@ -96,7 +99,7 @@ def search(t: Tables, query: dict[str, str], *, masks: list[tuple[DataFrame, boo
 def _by_text(rows: DataFrame, flags: list[Column], leaves: list[Leaf], source: DataFrame, t: Tables) -> tuple[DataFrame, list[Column]]:
     """For an index without positions: phrases are looked for in the folded source text of their candidates.
 
-    source: doc_id and the fields. Beyond ``phrase_threshold`` candidates, those with all the words count unverified.
+    source: doc_id and the fields. With a ``phrase_threshold``, candidates beyond that number count unverified.
     """
     kept = rows
     texts = source.select("doc_id", *(fold(F.coalesce(F.col(f).cast("string"), F.lit("")), t.config.charset).alias(f"text_{f}") for f in {x.field for x in leaves if x.slop is not None}))
@@ -104,7 +107,8 @@ def _by_text(rows: DataFrame, flags: list[Column], leaves: list[Leaf], source: D
     for i, leaf in enumerate(leaves):
         if leaf.slop is None or len(leaf.terms) == 1:
             continue
-        if kept.filter(flags[i]).limit(t.config.phrase_threshold + 1).count() <= t.config.phrase_threshold:
+        most = t.config.phrase_threshold
+        if most is None or kept.filter(flags[i]).limit(most + 1).count() <= most:
             out[i] = flags[i] & F.contains(F.coalesce(f"text_{leaf.field}", F.lit("")), F.lit(" ".join(fold_word(leaf.text, t.config.charset).split())))
     return kept.join(texts, "doc_id", "left"), out
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvex.sources.files import scratch
+
 
 def table(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
     return spark.read.format(fmt).options(**options).load(path)
@@ -18,20 +20,23 @@ def jdbc(spark: SparkSession, url: str, name: str, *, key: str | None = None, lo
     return reader.load()
 
 
-def numbered(rows: DataFrame, order: list[str], name: str = "doc_id", start: int = 0) -> DataFrame:
+def numbered(rows: DataFrame, order: list[str], name: str = "doc_id", start: int = 0, folder: str | None = None) -> DataFrame:
     """rows with the numbers start + 1, start + 2, ... in the given order, without gathering them in one task.
 
-    Rows are range-partitioned and sorted; only each partition's size comes to the driver.
+    Rows are range-partitioned, sorted and written to a folder with their places, so that the numbers are the same each
+    time that the result is evaluated, also if executors are lost. Only each partition's size comes to the driver.
     """
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()).persist()
-    part = F.shiftright("_place", 33)
-    sizes = sorted((r["p"], r["c"]) for r in placed.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("c")).collect())
-    at, base = start + 1, []
-    for p, c in sizes:
-        base += [F.lit(p), F.lit(at)]
+    spark, folder = rows.sparkSession, folder or scratch(rows.sparkSession, "numbered")
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
+    placed.write.parquet(folder)
+    placed = spark.read.schema(placed.schema).parquet(folder).withColumn("_part", F.shiftright("_place", 33))
+    at, firsts = start + 1, []
+    for p, c in sorted((r["_part"], r["count"]) for r in placed.groupBy("_part").count().collect()):
+        firsts.append((p, at))
         at += c
-    first = F.element_at(F.create_map(*base), part) if base else F.lit(start + 1)
-    return placed.withColumn(name, (first + F.col("_place").bitwiseAND((1 << 33) - 1)).cast("long")).drop("_place")
+    known = F.broadcast(spark.createDataFrame(firsts, "_part long, _first long"))  # a row for each partition
+    number = F.col("_first") + F.col("_place").bitwiseAND((1 << 33) - 1)
+    return placed.join(known, "_part").withColumn(name, number).drop("_part", "_place", "_first")
 
 
 def paragraphs(spark: SparkSession, path: str) -> DataFrame:

@@ -21,6 +21,8 @@ from corvex.sources.files import Files
 
 TOMBSTONES = "doc_id long"
 MASK = "doc_id long"
+#: Ids of a chunk, as bits: the postings of a term in one chunk are in one file.
+CHUNK_BITS = 20
 
 
 @dataclass(frozen=True)
@@ -32,6 +34,9 @@ class Manifest:
     tombstones: tuple[str, ...] = ()
     masks: dict = field(default_factory=dict)
     averages: dict = field(default_factory=dict)
+    #: Of each field, the weights of live documents in all; of each batch, its documents.
+    sums: dict = field(default_factory=dict)
+    sizes: dict = field(default_factory=dict)
     schema: int = SCHEMA_VERSION
 
 
@@ -86,6 +91,10 @@ class Store:
     def folder(self, kind: str) -> str:
         return f"{self.path}/{kind}/{uuid.uuid4().hex}"
 
+    def clear_staging(self) -> None:
+        """Removes what commits wrote on the way; what a lost writer left goes with it."""
+        self.files.delete(f"{self.path}/staging")
+
     def _read(self, schema, folders: list[str]) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
 
@@ -123,21 +132,46 @@ class Store:
     def tables(self, m: Manifest) -> Tables:
         return Tables(IndexConfig.from_json(m.config), self.live(m), self.postings(m), self.term_stats(m), self.doc_weights(m), m.averages, m.max_id)
 
-    def write_batch(self, docs: DataFrame, posted: DataFrame, weights: DataFrame) -> str:
-        """Writes the tables of new documents; they count once a manifest lists the folder."""
+    def write_batch(self, docs: DataFrame, posted: DataFrame, weights: DataFrame) -> tuple[str, int, dict[str, float]]:
+        """Writes the tables of documents; they count once a manifest lists the folder.
+
+        Returns the folder, its number of documents and the sum of weights of each field. Postings are dealt by field, term
+        and chunk of ids, so that of a term in a third of all documents no task has more than a chunk.
+        """
         b = self.folder("batches")
         docs.write.parquet(f"{b}/docs")
-        weights.repartition("field").write.partitionBy("field").parquet(f"{b}/weights")
-        posted.repartition("field", "term").sortWithinPartitions("field", "term", "doc_id").write.partitionBy("field").parquet(f"{b}/postings")
+        weights.write.partitionBy("field").parquet(f"{b}/weights")
+        chunk = F.shiftright("doc_id", CHUNK_BITS)
+        posted.repartition("field", "term", chunk).sortWithinPartitions("field", "term", "doc_id").write.partitionBy("field").parquet(f"{b}/postings")
         written = self.spark.read.schema(POSTINGS).parquet(f"{b}/postings")
-        written.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df")).sortWithinPartitions("field", "term").write.partitionBy("field").parquet(f"{b}/stats")
-        return b
+        stats = written.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+        stats.sortWithinPartitions("field", "term").write.partitionBy("field").parquet(f"{b}/stats")
+        return b, self.spark.read.schema(DOCS).parquet(f"{b}/docs").count(), self._sums(self._union(WEIGHTS, [f"{b}/weights"]))
+
+    def _sums(self, weights: DataFrame) -> dict[str, float]:
+        return {r["field"]: r["s"] for r in weights.groupBy("field").agg(F.sum("w_d").alias("s")).collect()}
+
+    def sums_of(self, m: Manifest, ids: DataFrame) -> dict[str, float]:
+        """Of each field, the weights of these documents."""
+        return self._sums(self.doc_weights(m).join(ids, "doc_id", "left_semi"))
 
-    def averages(self, m: Manifest) -> dict[str, float]:
-        """Of each field, the weights of live documents over the highest id."""
-        if not m.max_id or not m.batches:
-            return {}
+    def live_sums(self, m: Manifest) -> dict[str, float]:
+        """Of each field, the weights of live documents, which the manifest has unless it is an old one."""
+        if m.sums or not m.batches:
+            return m.sums
         w = self.doc_weights(m)
-        if m.tombstones:
-            w = w.join(self.dead(m), "doc_id", "left_anti")
-        return {r["field"]: r["s"] / m.max_id for r in w.groupBy("field").agg(F.sum("w_d").alias("s")).collect()}
+        return self._sums(w.join(self.dead(m), "doc_id", "left_anti") if m.tombstones else w)
+
+    def merged(self, m: Manifest, most: int) -> Manifest:
+        """m with its smallest batches in one, if there are more than ``most``.
+
+        Removed documents stay in the statistics, as they do until the index is optimized. Half of the batches are merged
+        at a time, so that a document is written anew a logarithmic number of times.
+        """
+        if len(m.batches) <= most:
+            return m
+        some = sorted(m.batches, key=lambda b: m.sizes.get(b, 1 << 62))[: max(2, most // 2 + 1)]
+        part = replace(m, batches=tuple(some))
+        b, n, _ = self.write_batch(self.all_docs(part), self.postings(part), self.doc_weights(part))
+        kept = [x for x in m.batches if x not in some]
+        return replace(m, batches=(*kept, b), sizes={**{x: m.sizes[x] for x in kept if x in m.sizes}, b: n})

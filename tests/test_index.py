@@ -7,6 +7,7 @@ from corvex.config import GeneralError, IndexConfig, QueryError
 from corvex.functions.analysis import terms
 from corvex.functions.highlight import highlight, snippets
 from corvex.index import SearchIndex, collection_count
+from corvex.sources import store
 from corvex.sources.loaders import numbered, paragraphs
 from corvex.streaming.ingest import ingest
 
@@ -207,3 +208,110 @@ def test_stream(make, spark, tmp_path):
 def test_collections(make, spark, tmp_path):
     make()
     assert collection_count(spark, f"file://{tmp_path}") == 1
+
+
+def test_all_tables_of_a_commit_agree_when_executors_are_lost(make, spark):
+    """Documents whose order and ties a second evaluation would change get one set of ids, which all tables have."""
+    rows = spark.range(400).repartition(7).select((F.col("id") % 300).cast("string").alias("doc_key"), F.concat_ws(" ", F.lit("word"), F.concat(F.lit("n"), F.rand().cast("string"))).alias("doc"))
+    ix = make()
+    ix.add_table(rows)
+    t = ix.tables()
+    plans = [df._jdf.queryExecution().toString() for df in (t.docs, t.postings, t.doc_weights)]
+    assert all("InMemoryRelation" not in p and "rand(" not in p for p in plans)
+    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
+    ids = {r["doc_id"] for r in t.docs.collect()}
+    assert ids == set(range(1, 301)) == {r["doc_id"] for r in t.postings.collect()} == {r["doc_id"] for r in t.doc_weights.collect()}
+    assert not ix.store.files.exists(f"{ix.store.path}/staging")
+
+
+def test_a_common_term_is_in_many_files(make, spark, monkeypatch):
+    monkeypatch.setattr(store, "CHUNK_BITS", 8)
+    ix = make()
+    ix.add_table(spark.range(4000).select(F.col("id").cast("string").alias("doc_key"), F.lit("same").alias("doc")))
+    ix.store.files.delete(f"{ix.store.path}/staging")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ix.optimize()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = ix.tables().postings.groupBy(F.input_file_name().alias("f")).count().collect()
+    assert len(files) == 4 and max(r["count"] for r in files) < 2500
+    assert set(found(ix, "same")) == {str(i) for i in range(4000)}
+
+
+def test_batches_are_merged_and_averages_kept(make):
+    ix, texts = make(max_batches=3), {}
+    for i in range(9):
+        texts |= {f"k{i}": f"word{i} common text" + " more" * i, f"k{i // 2}": f"again{i} common"}
+        assert ix.add({f"k{i}": {"doc": texts[f"k{i}"]}, f"k{i // 2}": {"doc": texts[f"k{i // 2}"]}}) in (1, 2)
+        if i == 4:
+            assert ix.remove("k4") == 1 and not texts.pop("k4") == ""
+    m = ix.manifest()
+    assert len(m.batches) <= 3 and sum(m.sizes.values()) == m.max_id
+    assert set(found(ix, "common")) == set(texts)
+    live = ix.store.doc_weights(m).join(ix.store.dead(m), "doc_id", "left_anti").agg(F.sum("w_d")).first()[0]
+    assert m.sums["doc"] == pytest.approx(live) and m.averages["doc"] == pytest.approx(live / m.max_id)
+    assert ix.tables().term_stats.filter("term = 'common'").first()["df"] == m.max_id
+
+
+def test_what_a_batch_adds_counts_when_it_is_added(make, spark, tmp_path):
+    ix, path = make(), str(tmp_path / "source")
+    spark.createDataFrame([("a", "first")], "doc_key string, doc string").write.parquet(path)
+    with ix:
+        ix.add_table(spark.read.parquet(path))
+        spark.createDataFrame([("a", "second")], "doc_key string, doc string").write.mode("overwrite").parquet(path)
+    assert found(ix, "first") == ["a"] and found(ix, "second") == []
+
+
+def test_all_hits_without_a_limit(make, spark):
+    ix = make()
+    rows = spark.range(2600).select(F.col("id").cast("string").alias("doc_key"), F.when(F.col("id") < 1200, "some word").otherwise("other").alias("doc"))
+    ix.add_table(rows)
+    assert len(ix.search({"doc": "some"})) == 1200 and len(ix.search({"doc": "some"}, k=5)) == 5
+
+
+def test_phrases_on_both_sides_of_the_threshold(make, spark):
+    for most, want in ((None, ["c"]), (3, ["c"]), (2, ["a", "b", "c"])):
+        ix = make(proximity_index=False, phrase_threshold=most)
+        source = spark.createDataFrame([("a", "fair  winds"), ("b", "winds fair"), ("c", "fair winds")], "doc_key string, doc string")
+        ix.set_source(source)
+        ix.add_table(source)
+        assert found(ix, '"fair winds"') == want
+        ix.delete()
+
+
+def test_one_writer_publishes_a_name(make):
+    ix = make()
+    path = f"{ix.store.path}/manifests/x"
+    assert ix.store.files.write_new(path, "one") and not ix.store.files.write_new(path, "two")
+    assert ix.store.files.read(path) == "one"
+
+
+def test_postings_of_repeated_terms(make):
+    ix = make()
+    add(ix, a="x y x z x", b="", c="y")
+    rows = {(r["term"], r["doc_id"]): (r["tf"], r["positions"]) for r in ix.tables().postings.collect()}
+    assert rows == {("x", 1): (3, [1, 3, 5]), ("y", 1): (1, [2]), ("z", 1): (1, [4]), ("y", 3): (1, [1])}
+    assert {r["doc_id"]: r["n_terms"] for r in ix.tables().doc_weights.collect()} == {1: 5, 2: 0, 3: 1}
+
+
+def test_fetch_and_warm(make, spark):
+    ix = make(key="id")
+    source = spark.createDataFrame([(1, "red isle"), (2, None)], "id int, doc string")
+    with pytest.raises(GeneralError):
+        ix.fetch(1, "doc")
+    ix.set_source(source)
+    ix.add_table(source)
+    assert ix.fetch(1, "doc") == "red isle" and ix.fetch(2, "doc") is None and ix.fetch(3, "doc") is None
+    with pytest.raises(GeneralError):
+        ix.fetch(1, "other")
+    assert ix.warm({"doc": "red isle"}) == 2
+    plan = ix.find({"doc": "isle"}, scored=False)._jdf.queryExecution().toString()
+    assert "InMemoryRelation" in plan and found(ix, "isle") == ["1"]
+    ix.add_table(spark.createDataFrame([(3, "isle")], "id int, doc string"))
+    assert found(ix, "isle") == ["1", "3"] and ix.tables().hot is None
+
+
+def test_marks_are_plain_text(spark):
+    df = spark.createDataFrame([("a cat",)], "t string")
+    assert df.select(highlight(F.col("t"), ["cat"], "$1\\", "$")).first()[0] == "a $1\\cat$"
