@@ -5,25 +5,30 @@ An index of a table is built once for a session and then searched, as a user wou
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvex.config import IndexConfig
+from corvex.config import MESSAGES, IndexConfig, SearchError, upgraded
 from corvex.functions import highlight as marks
 from corvex.functions.analysis import accents, terms
 from corvex.functions.stopwords import STOP_WORDS
-from corvex.index import SearchIndex
-from corvex.operators import build
+from corvex.index import SearchIndex, collection_count, collections
+from corvex.operators.search import search
+from corvex.sources import database
 from corvex.sources.files import scratch
-from corvex.sources.store import Store
+from corvex.sources.loaders import paragraphs
 
 WIDE = 100_000  # wildcard terms at most, whatever the size of the tables
 
 CONFIGS = {
     "documents": IndexConfig("documents", ("text",), key="doc_id", max_wildcard_term_expansion=WIDE),
-    "no_positions": IndexConfig("no_positions", ("text",), key="doc_id", proximity_index=False, phrase_threshold=1 << 30),
+    "no_positions": IndexConfig("no_positions", ("text",), key="doc_id", proximity_index=False),
+    "few_verified": IndexConfig("few_verified", ("text",), key="doc_id", proximity_index=False, phrase_threshold=3),
+    "latin_2": IndexConfig("latin_2", ("text",), key="doc_id", proximity_index=False, charset="iso-8859-2"),
     "pages": IndexConfig("pages", ("html",), key="page_id"),
     "conversations": IndexConfig("conversations", ("role", "text"), key="key"),
     "stop_en": IndexConfig("stop_en", ("text",), key="doc_id", stoplist=("en",)),
@@ -64,12 +69,12 @@ def fork(spark: SparkSession, sf_dir: str) -> SearchIndex:
 # --- SQL -------------------------------------------------------------------------------------------------------------
 
 
-def _tokens_sql(text: str, html: bool = False, stop: tuple[str, ...] = (), length: int = 20) -> str:
+def _tokens_sql(text: str, html: bool = False, stop: tuple[str, ...] = (), length: int = 20, charset: str = "iso-8859-1") -> str:
     text = f"regexp_replace(coalesce({text}, ''), '<[^\\n]*?>', ' ', 'g')"
     if html:
         for name, letter in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("amp", "&")):
             text = f"replace({text}, '&{name};', '{letter}')"
-    a, b = accents("iso-8859-1")
+    a, b = accents(charset)
     text = f"translate({text}, '{a}', '{b}')"
     for letter, both in (("ß", "ss"), ("æ", "ae"), ("Æ", "ae"), ("œ", "oe"), ("Œ", "oe")):
         text = f"replace({text}, '{letter}', '{both}')"
@@ -109,9 +114,10 @@ def _found(where: str, with_: str = DOCS) -> str:
     return f"{with_} SELECT doc_key FROM docs WHERE {where}"
 
 
-def _scored(where: str, scored: dict[tuple[str, str], int], with_: str = DOCS, n: str = "(SELECT count(*) FROM docs)", avg: str = "fs", df: dict[tuple[str, str], str] | None = None, tail: str = "") -> str:
+def _scored(where: str, scored: dict[tuple[str, str], int], with_: str = DOCS, n: str = "(SELECT count(*) FROM docs)", avg: str = "fs", df: dict[tuple[str, str], str] | None = None, tail: str = "", like: str | None = None) -> str:
     q = ", ".join(f"('{f}', '{t}', {c}, {(df or {}).get((f, t), 'NULL')})" for (f, t), c in scored.items())
-    return f"""{with_}, q AS (SELECT field, term, c, coalesce(d, df) AS df FROM (VALUES {q}) v(field, term, c, d) JOIN st USING (field, term)),
+    q = f"SELECT field, term, 1 AS c, df FROM st WHERE term LIKE '{like}'" if like else f"SELECT field, term, c, coalesce(d, df) AS df FROM (VALUES {q}) v(field, term, c, d) JOIN st USING (field, term)"
+    return f"""{with_}, q AS ({q}),
 w AS (SELECT field, term, ln(({n} - df + 0.5) / (df + 0.5)) AS idf, 8.0 * c / (7.0 + c) AS wq FROM q WHERE ({n} - df + 0.5) / (df + 0.5) > 0)
 SELECT doc_key, round(sum(idf * wq * 2.2 * tf / (1.2 * (0.25 + 0.75 * w_d / avg_w) + tf)), 6)::DOUBLE AS score
 FROM post JOIN w USING (field, term) JOIN dw USING (field, doc_id, doc_key) JOIN {avg} USING (field)
@@ -281,3 +287,188 @@ _add(
     lambda s, d: read(s, d, "documents").select("doc_id", marks.count(F.col("text"), ["that", "with"]).cast("long").alias("marked"), F.md5(marks.highlight(F.col("text"), ["that", "with"])).alias("digest")),
     r"SELECT doc_id, len(regexp_extract_all(text, '(?i)\b(that|with)\b'))::BIGINT AS marked, md5(regexp_replace(text, '(?i)\b(that|with)\b', '<b><u>\1</u></b>', 'g')) AS digest FROM documents",
 )
+
+
+# --- what a user does with an index besides searching ------------------------------------------------------------------
+
+
+def _new(spark: SparkSession, name: str, **changes) -> SearchIndex:
+    """An empty index of the documents' text."""
+    return SearchIndex(spark, scratch(spark, name), IndexConfig(name, ("text",), key="doc_id", **changes)).initialize()
+
+
+def _values(rows: list[tuple], *names: str) -> str:
+    """SQL of constant rows."""
+    quoted = lambda x: "NULL" if x is None else str(x).lower() if isinstance(x, bool) else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(quoted, r)) + ')' for r in rows)}) v({', '.join(names)})"
+
+
+_add("bm25_wildcard", lambda s, d: _rounded(index(s, d).find({"text": "wher*"})), _scored("doc_id IN (SELECT doc_id FROM post WHERE term LIKE 'wher%')", {}, like="wher%"))
+_add("bm25_nothing_scored", lambda s, d: _rounded(index(s, d).find({"text": "-that OR -with"})), "SELECT '' AS doc_key, 0.0::DOUBLE AS score WHERE false")
+_unscored("search_symbols", "und && der || les", f"({_has('und')} AND {_has('der')}) OR {_has('les')}")
+_unscored("search_punctuated_phrase", '"with-the"', _phrase("with", "the"))
+_unscored("mask_inline", "that", f"{_has('that')} AND doc_key::BIGINT % 3 = 0 AND doc_key::BIGINT < 400", and_mask=[[str(i) for i in range(0, 400, 3)], "no such mask"])
+_unscored("mask_inline_not", "that", f"{_has('that')} AND doc_key::BIGINT >= 50", not_mask=[list(range(50))])
+_unscored("phrase_unverified", '"with the"', f"{_has('with')} AND {_has('the')}", on="few_verified")
+_a2, _b2 = accents("iso-8859-2")
+_unscored("phrase_latin_2", '"für die"', f"{_has('fur')} AND {_has('die')} AND contains(lower(replace(translate(text, '{_a2}', '{_b2}'), 'ß', 'ss')), 'fur die')", on="latin_2", with_=_with(key="own", charset="iso-8859-2"))
+
+
+def _unmasked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ix = fork(spark, sf_dir)
+    gone = ix.delete_mask("toxic") and not ix.delete_mask("toxic")
+    return ix.find({"text": "that"}, scored=False, and_mask=["toxic", "good"]).select("doc_key", F.lit(gone).alias("gone"))
+
+
+_add("delete_mask", _unmasked, f"{DOCS} SELECT doc_key, true AS gone FROM docs WHERE {_has('that')} AND {_good}")
+
+_KEYS = (0, 7, 19, 150, -1)
+_add("indexed", lambda s, d: s.createDataFrame([(str(k), index(s, d).indexed(k)) for k in _KEYS], "doc_key string, doc_id long"), f"{DOCS} SELECT k.doc_key, docs.doc_id FROM ({_values([(str(k),) for k in _KEYS], 'doc_key')}) k LEFT JOIN docs USING (doc_key)")
+_add("fetch_field", lambda s, d: s.createDataFrame([(k, index(s, d).fetch(k, "text")) for k in _KEYS], "k long, found string"), f"SELECT k.k::BIGINT AS k, text AS found FROM ({_values([(k,) for k in _KEYS], 'k')}) k LEFT JOIN documents ON doc_id = k.k")
+
+
+def _by_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ix = _new(spark, "by_keys")
+    ix.set_source(read(spark, sf_dir, "documents"))
+    n = ix.add_doc(5, [3, 999_999_999], 1, 3)
+    again = ix.add_doc(3, 7)
+    return ix.all_doc_ids().select("doc_id", "doc_key", F.lit(n).cast("long").alias("n"), F.lit(again).cast("long").alias("again"))
+
+
+_add("add_by_keys", _by_keys, "SELECT v.doc_id::BIGINT AS doc_id, v.doc_key, 3::BIGINT AS n, 2::BIGINT AS again FROM (VALUES (1, '1'), (3, '5'), (4, '3'), (5, '7')) v(doc_id, doc_key)")
+
+
+def _in_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables in one batch, of which the second replaces a part of the first; nothing counts before the commit."""
+    docs, ix = read(spark, sf_dir, "documents"), _new(spark, "in_batches")
+    ix.begin_add()
+    added = ix.add_table(docs.filter("doc_id < 60")) + ix.add_table(docs.filter("doc_id between 40 and 99").withColumn("text", F.lit("another text")))
+    before = ix.all_doc_ids().count()
+    n = ix.commit_add()
+    found = ix.find({"text": "+another +text"}, scored=False).count()
+    return spark.createDataFrame([(added, before, n, ix.all_doc_ids().count(), found, ix.max_indexed_id())], "added long, before long, n long, there long, found long, top long")
+
+
+_add("batch_commit", _in_batches, "SELECT (count(*) FILTER (doc_id < 60) + count(*) FILTER (doc_id BETWEEN 40 AND 99))::BIGINT AS added, 0::BIGINT AS before, count(*)::BIGINT AS n, count(*)::BIGINT AS there, count(*) FILTER (doc_id >= 40)::BIGINT AS found, count(*)::BIGINT AS top FROM documents WHERE doc_id < 100")
+
+
+def _many_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small batches are merged, and the removed stay in the statistics."""
+    docs, ix = read(spark, sf_dir, "documents"), _new(spark, "many_commits", max_batches=3)
+    for i in range(6):
+        ix.add_table(docs.filter(f"doc_id % 6 = {i}"))
+        if i == 2:
+            ix.remove(0, 1, 2)
+    few = len(ix.manifest().batches) <= 3
+    return ix.tables().term_stats.select("term", "df", F.lit(few).alias("few"))
+
+
+_add("merged_batches", _many_commits, f"{DOCS} SELECT term, df, true AS few FROM st")
+
+
+def _dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ix = fork(spark, sf_dir)
+    rows = [("made", ix.exists())]
+    ix.delete()
+    rows.append(("dropped", ix.exists()))
+    return spark.createDataFrame([*rows, ("made again", ix.initialize().exists()), ("empty", ix.all_doc_ids().isEmpty())], "step string, holds boolean")
+
+
+_add("drop_index", _dropped, _values([("made", True), ("dropped", False), ("made again", True), ("empty", True)], "step", "holds"))
+
+
+def _seen_by_another(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A handle that has read the index sees what another one adds."""
+    one = fork(spark, sf_dir)
+    one.find({"text": "that"}, scored=False).count()
+    SearchIndex(spark, one.store.path).add({"new": {"text": "xylophones xylophones"}})
+    return one.find({"text": "xylophones"}, scored=False).select("doc_key")
+
+
+_add("stale_handle", _seen_by_another, _values([("new",)], "doc_key"))
+
+
+def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = scratch(spark, "root")
+    for name in ("one", "two"):
+        SearchIndex(spark, f"{root}/{name}", IndexConfig(name, ("text",))).initialize()
+    SearchIndex(spark, f"{root}/gone", IndexConfig("gone", ("text",))).initialize().delete()
+    return spark.createDataFrame([(n, collection_count(spark, root)) for n in collections(spark, root)], "name string, n long")
+
+
+_add("list_collections", _listed, _values([("one", 2), ("two", 2)], "name", "n").replace("*", "name, n::BIGINT AS n"))
+
+_BAD = (("", "empty_query"), ("  ", "empty_query"), ('"no end', "quote_count"), ("(a", "parentheses"), ("?a", "wildcard_length"), ("xxxxyyyyzzzz", "no_results"), ("of the", "no_results_stop"))
+
+
+def _errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What searches say that have no answer."""
+    ix, rows = index(spark, sf_dir, "stop_en"), []
+    for query, _ in _BAD:
+        try:
+            ix.unscored_search({"text": query})
+        except SearchError as e:
+            rows.append((query, type(e).__name__, str(e)))
+    try:
+        ix.find({"nowhere": "a"})
+    except SearchError as e:
+        rows.append(("nowhere", type(e).__name__, str(e)))
+    return spark.createDataFrame(rows, "query string, kind string, message string")
+
+
+_said = [(q, "QueryError", MESSAGES[m].format(n=1) + (" of, the." if m == "no_results_stop" else "")) for q, m in _BAD]
+_add("query_errors", _errors, _values([*_said, ("nowhere", "GeneralError", "there is no field nowhere")], "query", "kind", "message"))
+
+
+def _stopped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ix = index(spark, sf_dir, "stop_en")
+    ix.find({"text": "the thing of THE things"}, scored=False)
+    return spark.createDataFrame([(w, "stopped") for w in ix.last_plan.stopped] + [(w, "searched") for w in ix.query_words()], "word string, how string")
+
+
+_add("stopped_words", _stopped, _values([("the", "stopped"), ("of", "stopped"), ("the", "stopped"), ("thing", "searched"), ("things", "searched")], "word", "how"))
+
+_OLD = {"collection": "old", "document_fields": ["a", "b"], "document_table": "t", "document_id_field": "i", "max_wildcard_expansion": 7, "czech_language": 1, "unknown": 2}
+_NOW = {"collection": "old", "doc_fields": ["a", "b"], "doc_table": "t", "key": "i", "max_wildcard_term_expansion": 7, "charset": "iso-8859-2"}
+_add("metadata_upgrade", lambda s, d: s.createDataFrame([(k, json.dumps(v)) for k, v in upgraded(_OLD).items()], "name string, value string"), _values([(k, json.dumps(v)) for k, v in _NOW.items()], "name", "value"))
+
+
+def _options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The options of an index as another handle reads them from the store."""
+    made = _new(spark, "options", stoplist=("en",), max_word_length=9, errors={"no_results": "Nothing."})
+    found = SearchIndex(spark, made.store.path).config
+    return spark.createDataFrame([(f, json.dumps(getattr(found, f))) for f in ("collection", "doc_fields", "key", "stoplist", "max_word_length", "errors", "scoring_method")], "name string, value string")
+
+
+_add("stored_options", _options, _values([("collection", '"options"'), ("doc_fields", '["text"]'), ("key", '"doc_id"'), ("stoplist", '["en"]'), ("max_word_length", "9"), ("errors", '{"no_results": "Nothing."}'), ("scoring_method", '"okapi"')], "name", "value"))
+
+
+def _warmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ix = fork(spark, sf_dir)
+    ix.warm({"text": "that with from"})
+    return _rounded(ix.find({"text": "that with"}))
+
+
+_add("warm_search", _warmed, _scored(_both, {("text", "that"): 1, ("text", "with"): 1}))
+
+
+def _paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text file with a paragraph for each benchmark text, loaded again."""
+    path = scratch(spark, "paragraphs")
+    texts = read(spark, sf_dir, "benchmark").select(F.concat(F.regexp_replace("text", r"\s+", "\n"), F.lit("\n")).alias("value"), "item_id")
+    texts.coalesce(1).sortWithinPartitions("item_id").select("value").write.text(path)
+    return paragraphs(spark, path).select("doc_id", "doc")
+
+
+_add("paragraph_loader", _paragraphs, "SELECT row_number() OVER (ORDER BY item_id) AS doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS doc FROM benchmark")
+
+
+def _in_a_database(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables of an index in a database, and a search there."""
+    url = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
+    database.save(index(spark, sf_dir, "conversations").tables(), url, "c_")
+    found, _ = search(database.load(spark, url, "c_"), {"text": '"with the"'})
+    return _rounded(found)
+
+
+_add("database_search", _in_a_database, _scored(_phrase("with", "the"), {("text", "with"): 1, ("text", "the"): 1}, with_=CONV))
