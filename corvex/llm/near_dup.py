@@ -348,3 +348,17 @@ def keep(docs: DataFrame, *, words: int = WORDS, threshold: int = THRESHOLD) ->
     kept = best.union(found.filter("label is null").select("doc_id", "h")).distinct().select(F.col("doc_id").alias("of"), "h")
     h = F.xxhash64(docs["text"])
     return docs.join(kept, (h == kept["h"]) & docs["doc_id"].cast("long").eqNullSafe(kept["of"]), "left_semi")
+
+
+def classes_sql(words: int = WORDS, threshold: int = THRESHOLD) -> str:
+    """The same by joining all sets on their shingles, and the links' transitive closure. For small tables."""
+    return rf"""
+WITH RECURSIVE docs AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {words} THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - {words - 2}), lambda i: array_to_string(w[i:i + {words - 1}], ' '))) END AS s FROM docs),
+flat AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM flat a JOIN flat b USING (x) WHERE a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= {threshold} * greatest(a.n, b.n) GROUP BY ALL),
+links AS (SELECT a, b FROM pairs WHERE 100 * c >= {threshold} * (na + nb - c)),
+reach(a, b) AS (SELECT doc_id, doc_id FROM sets UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN least USING (doc_id)"""

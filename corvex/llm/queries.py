@@ -51,4 +51,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op3_secrets": op3_secrets, "op4_near_dup": op4_near_dup, "op5_line_dedup": op5_line_dedup, "op6_token_files": op6_token_files, "op7_warc": op7_warc, "op8_lm_scores": op8_lm_scores, "op9_neighbours": op9_neighbours, "op10_quality": op10_quality}
 
 #: DuckDB SQL of those that SQL can express.
-ORACLE: dict[str, str] = {"op5_line_dedup": line_dedup.digests_sql(), "op7_warc": warc.round_trip_sql()}
+ORACLE: dict[str, str] = {"op4_near_dup": near_dup.classes_sql(words=4), "op5_line_dedup": line_dedup.digests_sql(), "op7_warc": warc.round_trip_sql()}
