@@ -8,8 +8,9 @@ the state.
 
 A key is the line with blanks stripped at both ends and A-Z lower-cased, and is known by its 128-bit hash. Counting is
 one shuffle of (hash, count) rows that were summed per batch before, so a line in a third of all documents is a few
-rows. The common keys are read by each worker if they take at most ``worker_bytes``; beyond that, the lines that
-could be common are joined with them instead, and no task holds them all.
+rows. The common keys are read by each worker if they take at most ``worker_bytes``; beyond that, the keys of all lines
+are sorted by shard and held against one shard after the other, so that a worker has one at a time and the same filters
+and lists answer. Shards are laid out anew when insertions have filled them to twice their size.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvex.llm._common import fresh_path, slices, stage, utf8
+from corvex.llm._common import fresh_path, partitions_for, slices, stage, utf8
 
 THRESHOLD = 10
 #: Common keys of a shard, about, when shards are laid out.
@@ -137,13 +138,27 @@ class Common:
         return out
 
 
+_STORED = [("filter", pa.binary()), ("keys", pa.binary())]
+
+
 @lru_cache(maxsize=2)
 def common_at(path: str, bits: int) -> Common:
+    """The common keys of all shards."""
     fs, inner = pa.fs.FileSystem.from_uri(path)
-    found = pyarrow.dataset.dataset(inner, filesystem=fs, format="parquet").to_table(columns=["shard", "filter", "keys"])
+    found = pyarrow.dataset.dataset(inner, filesystem=fs, format="parquet", partitioning="hive", schema=pa.schema([*_STORED, ("shard", pa.int32())])).to_table()
     return Common(list(zip(*(found[c].to_pylist() for c in ("shard", "filter", "keys")), strict=True)), bits)
 
 
+@lru_cache(maxsize=2)
+def shard_at(path: str, shard: int) -> Common:
+    """The common keys of one shard."""
+    fs, inner = pa.fs.FileSystem.from_uri(f"{path}/shard={shard}")
+    if fs.get_file_info(inner).type == pa.fs.FileType.NotFound:
+        return Common([], 0)
+    found = pyarrow.dataset.dataset(inner, filesystem=fs, format="parquet", schema=pa.schema(_STORED)).to_table()
+    return Common([(0, f, k) for f, k in zip(found["filter"].to_pylist(), found["keys"].to_pylist(), strict=True)], 0)
+
+
 def hashes(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, lines)), dtype=">u8").reshape(-1, 2).astype(np.uint64)
     return both[:, 0], both[:, 1]
@@ -214,10 +229,11 @@ class LineState:
     def _of(cls, refs: DataFrame, threshold: int, bits: int | None = None, shards: DataFrame | None = None) -> LineState:
         spark, common = refs.sparkSession, refs.filter(F.col("n") >= threshold)
         n = common.count()
-        if bits is None:
-            bits = max(0, int(np.ceil(np.log2(max(1, n) / SHARD_KEYS))))
+        if bits is None or n >> bits > 2 * SHARD_KEYS:
+            bits, shards = max(0, int(np.ceil(np.log2(max(1, n) / SHARD_KEYS)))), None
         path = fresh_path(spark, "line-shards")
-        (shards if shards is not None else _shards(common, bits)).write.mode("overwrite").parquet(path)
+        shards = (shards if shards is not None else _shards(common, bits)).repartition("shard")
+        shards.write.mode("overwrite").partitionBy("shard").parquet(path)
         return cls(refs, spark.read.schema(SHARDS).parquet(path), path, bits, n, threshold)
 
     def insert(self, docs: DataFrame) -> LineState:
@@ -307,24 +323,43 @@ def dedup(docs: DataFrame, state: LineState | None = None, *, threshold: int = T
 
 
 def _with_common(docs: DataFrame, state: LineState) -> DataFrame:
-    """docs with the common keys of each document, found by a join: the way that holds for any number of them."""
+    """docs with the common keys of each document, for any number of them: a task has one shard at a time.
+
+    Keys are dealt by shard, key and document, so a line that many documents share is in many tasks.
+    """
+    path, bits = state.path, state.bits
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                ids, keys = [], []
-                for i, text in enumerate(utf8(part.column(1))):
+                at, keys = [], []
+                for i, text in enumerate(utf8(part.column(2))):
                     own = {key_of(x) for x in text.split(b"\n")}
-                    ids += [i] * len(own)
+                    own.discard(b"")
+                    at += [i] * len(own)
                     keys += own
-                hi, lo = hashes(keys)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(ids, pa.int64())), signed(np.ascontiguousarray(hi)), signed(np.ascontiguousarray(lo))], ["of", "hi", "lo"])
+                if keys:
+                    hi, lo = hashes(keys)
+                    at = pa.array(at, pa.int64())
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), signed(np.ascontiguousarray(hi)), signed(np.ascontiguousarray(lo))], ["of", "h", "hi", "lo"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    lines = docs.select("doc_id", "text").mapInArrow(run, f"of {kind}, hi long, lo long")
-    common = state.refs.filter(F.col("n") >= state.threshold).select("hi", "lo")
-    held = lines.join(common, ["hi", "lo"], "left_semi").groupBy("of").agg(F.collect_set(F.struct("hi", "lo")).alias("common_keys"))
-    return docs.join(held, docs["doc_id"].eqNullSafe(held["of"]), "left").drop("of")
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hi, lo = (batch.column(i).to_numpy().view(np.uint64) for i in (2, 3))
+            shard = (hi >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hi), np.int64)
+            edges = [*np.flatnonzero(np.diff(shard, prepend=-1)).tolist(), len(shard)]
+            common = np.zeros(len(hi), bool)
+            for a, b in zip(edges, edges[1:], strict=False):
+                common[a:b] = shard_at(path, int(shard[a])).has(hi[a:b], lo[a:b])
+            yield batch.filter(pa.array(common))
+
+    lines = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, f"of {kind}, h long, hi long, lo long")
+    n = partitions_for(docs.sparkSession, docs)
+    order = F.col("hi").bitwiseXOR(-(1 << 63))  # as unsigned, so that a shard is a range
+    lines = lines.withColumn("at", order).repartitionByRange(n, "at", "lo", "of").sortWithinPartitions("at").drop("at")
+    held = lines.mapInArrow(check, lines.schema).groupBy("of", "h").agg(F.collect_set(F.struct("hi", "lo")).alias("common_keys"))
+    return docs.join(held, docs["doc_id"].eqNullSafe(held["of"]) & (F.xxhash64(docs["text"]) == held["h"]), "left").drop(held["of"], held["h"])
 
 
 def digests(docs: DataFrame) -> DataFrame:

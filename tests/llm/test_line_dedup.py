@@ -22,6 +22,20 @@ def test_awkward_documents(spark):
     assert got(joined, *COLUMNS) == want  # the way for more common keys than a worker holds
 
 
+def test_shard_by_shard(spark, monkeypatch):
+    """Many small shards, of which a worker holds one at a time; rows with null and repeated ids; shards laid out anew."""
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 4)
+    rows = [(None if i % 5 == 0 else i % 40, "\n".join(f"line {j}" for j in range(i % 7, 90, 1 + i % 3)) + f"\nown {i}", None, None, 1) for i in range(120)]
+    rows += [(None, None, None, None, None), (None, "", None, None, 1), *rows[:3]]
+    df = frame(spark, rows)
+    want = got(line_dedup.dedup(df, counts=True), "doc_id", "n_lines", "n_dropped", "text")
+    state = LineState.build(df)
+    assert state.bits >= 4 and any(r[2] for r in want)
+    assert got(line_dedup.dedup(df, state, counts=True, worker_bytes=0), "doc_id", "n_lines", "n_dropped", "text") == want
+    grown = LineState.build(frame(spark, rows[:9])).insert(frame(spark, rows[9:]))
+    assert grown.bits == state.bits and state_of(grown) == state_of(state)
+
+
 def test_empty_table(spark):
     assert got(line_dedup.digests(frame(spark, [])), *COLUMNS) == []
 
