@@ -31,7 +31,8 @@ from corvex.llm._common import fresh_path, partitions_for, slices, stage
 
 #: Payloads of fewer bytes are never revisits.
 LEAST_BYTES = 1000
-BLOCK = 1000
+#: Entries of a block of the index, and records that a task reads, about.
+BLOCK, TASK_RECORDS = 1000, 1 << 14
 DATE = "2024-01-01T00:00:00Z"
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
@@ -97,8 +98,9 @@ def captures(pages: DataFrame, *, least: int = LEAST_BYTES) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
     large = F.octet_length("html") >= least
-    kept = rows.filter(large).groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("digest", "first")
-    out = rows.join(kept, "digest", "left")
+    rows = rows.withColumn("size", F.octet_length("html"))
+    kept = rows.filter(large).groupBy("digest", "size").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("digest", "size", "first")
+    out = rows.join(kept, ["digest", "size"], "left")
     other = large & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return out.select("page_id", "url", "html", "digest", F.when(other, F.col("first")).alias("refers_to"))
 
@@ -107,7 +109,8 @@ def write(pages: DataFrame, folder: str | None = None, *, least: int = LEAST_BYT
     """Writes the archives of pages and returns the entries of the capture index, staged and not yet sorted.
 
     Null page_ids and urls are empty fields; repeated rows are records of their own; no pages give no archive.
-    Columns other than page_id, url and html are not read.
+    Columns other than page_id, url and html are not read. A task holds 64 pages or some megabytes at a time, whichever
+    is less, and a longer page alone, as text, record and compressed record.
     """
     folder = folder or fresh_path(pages.sparkSession, "warc")
     names = ["key", "page_id", "digest", "kind", "path", "offset", "length"]
@@ -178,7 +181,7 @@ def index(entries: DataFrame, folder: str | None = None, *, block: int = BLOCK)
         if out is not None:
             out.close()
 
-    rows = entries.select(*cols).repartitionByRange(partitions_for(spark), "key", "page_id").sortWithinPartitions("key", "page_id")
+    rows = entries.select(*cols).repartitionByRange(partitions_for(spark, entries), "key", "page_id").sortWithinPartitions("key", "page_id")
     return stage(rows.mapInArrow(run, DIRECTORY), "warc-directory")
 
 
@@ -251,7 +254,8 @@ def read(directory: DataFrame, *, payloads: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
 
     found = directory.select("path", "offset", "length").mapInArrow(blocks, "path string, offset long, length long")
-    found = found.repartitionByRange(partitions_for(spark), "path", "offset").sortWithinPartitions("path", "offset")
+    parts = -(-(directory.agg(F.sum("n")).first()[0] or 0) // TASK_RECORDS)
+    found = found.repartitionByRange(max(parts, partitions_for(spark)), "path", "offset").sortWithinPartitions("path", "offset")
     return found.mapInArrow(records, RECORDS)
 
 
