@@ -225,20 +225,33 @@ def least_determinant(own, floors, support: float, steps: int, quantile) -> tupl
     return best
 
 
-def mcd(stats: list[dict], floors, support: float, steps: int, least: int) -> dict:
-    """doc_id to squared robust distance, or None: concentration steps over each group's transformed statistics."""
+def mcd(stats: list[dict], floors, support: float, steps: int, least: int, everyone: bool = False) -> dict:
+    """doc_id to squared robust distance, or None: concentration steps over each group's transformed statistics.
+
+    A group is a source of a language, or the small ones of it. With everyone, what is still too small is judged by the
+    whole language, or by all documents.
+    """
     share = lambda part, whole: math.asin(math.sqrt(min(1.0, part / max(whole, 1))))
     x = {r["doc_id"]: np.array([math.log1p(r["n_words"]), math.log((r["word_chars"] + 250) / (r["n_words"] + 50)), share(r["n_symbols"], r["word_chars"]), share(r["n_dup_lines"], r["n_lines"]), share(r["n_repeat_words"], r["n_words"])]) for r in stats}
     clean = [r for r in stats if not r["base_failed"]]
     size = Counter((r["lang"], r["source"]) for r in clean)
     group = {r["doc_id"]: (r["lang"], r["source"]) if size[r["lang"], r["source"]] >= least else (r["lang"],) for r in stats}
     quantile = lambda v, p: np.sort(v, axis=0)[max(0, math.ceil(p * len(v)) - 1)]
+    members = {g: [r["doc_id"] for r in clean if group[r["doc_id"]] == g] for g in set(group.values())}
+    if everyone:
+        lang = {r["doc_id"]: r["lang"] for r in stats}
+        whole = {v: [r["doc_id"] for r in clean if r["lang"] == v] for v in set(lang.values())}
+        small = {g for g, own in members.items() if len(own) < least}
+        for i, g in group.items():
+            if g in small:
+                group[i] = ("whole", lang[i], None) if len(whole[lang[i]]) >= least else ("all",) * 4
+        members |= {("whole", v, None): own for v, own in whole.items()} | {("all",) * 4: [r["doc_id"] for r in clean]}
+    d2 = lambda v, m, cov: np.einsum("ij,jk,ik->i", v - m, np.linalg.inv(cov), v - m)
     out = dict.fromkeys(x)
     for g in set(group.values()):
-        own = np.array([x[r["doc_id"]] for r in clean if group[r["doc_id"]] == g]).reshape(-1, 5)
-        if len(own) < least:
+        own = np.array([x[i] for i in members[g]]).reshape(-1, 5)
+        if len(own) < (least if len(g) < 4 else 1):
             continue
-        d2 = lambda v, m, cov: np.einsum("ij,jk,ik->i", v - m, np.linalg.inv(cov), v - m)
         m, cov, _ = least_determinant(own, floors, support, steps, quantile)
         scale = max(1.0, quantile(d2(own, m, cov), 0.5) / 4.351)
         ids = [i for i in x if group[i] == g]

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from corvex.llm import quality, secrets
 from corvex.llm._common import stage
 from tests.llm import brute
-from tests.llm.data import DOCS, got, pairs, wanted
+from tests.llm.data import DOCS, awkward, frame, got, pairs, wanted
 from tests.llm.test_packing import COLUMNS, check
 from tests.llm.test_quality import mixed
 
@@ -29,7 +31,7 @@ def test_stages_against_brute_force(spark):
     docs = stage(corpus_pipeline.quality_rules(spark, docs, SF), "q")
     assert docs.columns == columns
     stats = [r.asDict() for r in quality.statistics(spark.createDataFrame(rows, DOCS)).collect()]
-    d2 = brute.mcd(stats, quality.FLOORS, quality.SUPPORT, quality.STEPS, quality.LEAST)
+    d2 = brute.mcd(stats, quality.FLOORS, quality.SUPPORT, quality.STEPS, quality.LEAST, everyone=True)
     failed = {r[0] for r in brute.quality(pairs(rows)) if r[6]}
     rows = [r for r in rows if r[0] not in failed and not (d2[r[0]] or 0) > quality.CUTOFF]
     assert got(docs, *columns) == wanted(rows)
@@ -71,3 +73,15 @@ def test_empty_documents(spark):
     for name, step in corpus_pipeline.STAGES:
         docs = stage(step(spark, docs, SF), name)
     assert docs.count() == 0
+
+
+def test_extra_columns_with_clashing_names(spark):
+    rows = awkward() + [(d + 20_000, *r) for d, *r in awkward(3)] + [(None, "a null id, " * 9 + "and other words of its own to pass the rules", None, None, 1)]
+    docs = frame(spark, rows, clashing=True).withColumn("row", F.lit("x")).withColumn("h", F.lit("x"))
+    want, plain = docs, frame(spark, rows)
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        docs, plain = stage(step(spark, docs, SF), name), stage(step(spark, plain, SF), name)
+        assert docs.columns == want.columns
+        assert got(docs, *plain.columns) == got(plain, *plain.columns)
+    assert got(docs, "row", "h", "spans", "kept")[0] == ("x",) * 4 and plain.count() > 20
+    check(got(corpus_pipeline.pack_windows(spark, docs, SF), *COLUMNS), [tuple(r) for r in plain.collect()])
