@@ -194,6 +194,11 @@ class SearchIndex:
         averages = {f: s / m.max_id for f, s in sums.items()} if m.max_id else {}
         self.store.publish(m, batches=(batch,), tombstones=(), averages=averages, sums=sums, sizes={batch: n})
 
+    def vacuum(self, keep: int = 1) -> int:
+        """Deletes what no longer belongs to the last ``keep`` versions; see the store."""
+        self.flush_cache()
+        return self.store.vacuum(keep)
+
     # --- looking up ---
 
     def indexed(self, key) -> int | None:

@@ -86,6 +86,24 @@ class Store:
         out.publish(Manifest(**{**self.manifest().__dict__, "version": 0}))
         return out
 
+    def vacuum(self, keep: int = 1) -> int:
+        """Deletes manifests but the last ``keep`` and the folders that none of these lists; returns how many folders.
+
+        Readers of older versions, forks and writers at work lose what they share with this index.
+        """
+        versions = self._versions()
+        used: set[str] = set()
+        for n in versions[-keep:]:
+            m = json.loads(self.files.read(f"{self.path}/manifests/v{n:012d}.json"))
+            used |= {*m["batches"], *m["tombstones"], *m["masks"].values()}
+        for n in versions[:-keep]:
+            self.files.delete(f"{self.path}/manifests/v{n:012d}.json")
+        old = [f for kind in ("batches", "tombstones", "masks") for name in self.files.children(f"{self.path}/{kind}") if (f := f"{self.path}/{kind}/{name}") not in used]
+        for f in old:
+            self.files.delete(f)
+        self.clear_staging()
+        return len(old)
+
     # --- tables ---
 
     def folder(self, kind: str) -> str:

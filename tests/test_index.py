@@ -280,6 +280,18 @@ def test_phrases_on_both_sides_of_the_threshold(make, spark):
         ix.delete()
 
 
+def test_vacuum(make):
+    ix = make()
+    add(ix, a="one", b="two")
+    add(ix, a="three")
+    ix.add_mask("m", ["a"])
+    ix.optimize()
+    assert ix.vacuum() == 3 and ix.vacuum() == 0  # two batches and a tombstone
+    assert found(ix, "three", and_mask=["m"]) == ["a"] and found(ix, "one OR two") == ["b"]
+    again = SearchIndex(ix.spark, ix.store.path)
+    assert again.manifest() == ix.manifest() and add(again, c="four") == 1 and found(ix, "four") == ["c"]
+
+
 def test_one_writer_publishes_a_name(make):
     ix = make()
     path = f"{ix.store.path}/manifests/x"
