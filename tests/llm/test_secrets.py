@@ -57,6 +57,31 @@ def test_queries_of_the_rules():
     assert all(q is not secrets.ANY for k, q in of.items() if k != "hex")
 
 
+def test_planted_credentials_and_their_look_alikes(spark):
+    """Spans of the added kinds, worked out from how each text was put together."""
+    long = "Ab1" * 14
+    real = {
+        "private_key": "-----BEGIN RSA PRIVATE KEY-----\nMIIEow\nIBAAK=\n-----END RSA PRIVATE KEY-----",
+        "github": "ghp_" + long[:36],
+        "slack": "xoxb-" + "1234567890-abcdefghij",
+        "stripe": "sk_live_" + long[:24],
+        "google": "AIza" + long[:35],
+        "jwt": "eyJ" + long[:12] + ".eyJ" + long[:20] + "." + long[:30],
+    }
+    rows = [(i, f"é before {x} after", None, None, 1) for i, x in enumerate(real.values())]
+    rows += [(100, " | ".join(real.values()), None, None, 1)]
+    alike = ["ghp_short", "xoxz-" + "Z" * 30, "sk_test_" + long, "AIza" + long[:30], "eyJ" + long[:12] + "." + long, "-----BEGIN PUBLIC KEY-----"]
+    rows += [(200 + i, f"a {x} b", None, None, 1) for i, x in enumerate(alike)]
+    found = dict(got(secrets.digests(frame(spark, rows)), "doc_id", "spans"))
+    for i, (kind, x) in enumerate(real.items()):
+        assert found[i] == f"{kind}:9:{9 + len(x)}"
+    at, want = 0, []
+    for kind, x in real.items():
+        want.append(f"{kind}:{at}:{at + len(x)}")
+        at += len(x) + 3
+    assert found[100] == ",".join(want) and all(found[200 + i] == "" for i in range(len(alike)))
+
+
 def test_redaction(spark):
     rows = [(1, "my password = hunter2hunter2, and more", "en", "s", 5), (2, None, None, None, None), (3, "clean", "en", "s", 5)]
     out = secrets.redact(frame(spark, rows, clashing=True))
