@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvex.llm._common import slices, stage, utf8
+from corvex.llm._common import partitions_for, slices, stage, utf8
 
 FOLDS, HELD_OUT = 5, 1
 BLOCK_TOKENS = 1 << 19
@@ -210,7 +210,12 @@ def _by_kind(group: pa.Table) -> Iterator[tuple[int, list[tuple[int, np.ndarray,
 ANSWERS = "block long, kind int, shard long, counts binary, n long, types long"
 
 
-def _answers(requests: DataFrame) -> DataFrame:
+def _dealt(df: DataFrame, groups: int, *keys: str) -> DataFrame:
+    """df dealt by keys that have so many values, a few to a task, so that a task's share doesn't grow with their number."""
+    return df.repartition(max(partitions_for(df.sparkSession), groups // 2), *keys)
+
+
+def _answers(requests: DataFrame, shards: int) -> DataFrame:
     """The totals of each request. One answer of each shard has, for words, the sum and number of the counts."""
 
     def run(key, group):
@@ -222,13 +227,13 @@ def _answers(requests: DataFrame) -> DataFrame:
                 out.append((block, kind, key[0].as_py(), _narrow(totals[np.searchsorted(hashes, h)]), int(totals.sum()) if first else 0, int((totals > 0).sum()) if first else 0))
         return pa.table(*_columns(out, ANSWERS))
 
-    return requests.groupBy("shard").applyInArrow(run, ANSWERS)
+    return _dealt(requests, shards, "shard").groupBy("shard").applyInArrow(run, ANSWERS)
 
 
 def _resolved(requests: DataFrame, widths: list[int], level: int, blocks: int) -> DataFrame:
     """The answers to requests of blocks, that are by the first ``level + 1`` widths of the hash."""
     if level + 1 == len(widths):
-        return stage(_answers(requests), "lm-answers")
+        return stage(_answers(requests, 1 << sum(widths)), "lm-answers")
     used, width = sum(widths[: level + 1]), widths[level + 1]
     more = -(-blocks >> FAN)
     requests = stage(requests.withColumn("of", F.pmod(F.xxhash64("block"), F.lit(more))), "lm-requests")
@@ -250,9 +255,11 @@ def _resolved(requests: DataFrame, widths: list[int], level: int, blocks: int) -
                 n = types = 0
         return pa.table(*_columns(out, ANSWERS))
 
-    merged = requests.groupBy("shard", "of").applyInArrow(merge, REQUESTS)
+    groups = more << used
+    merged = _dealt(requests, groups, "shard", "of").groupBy("shard", "of").applyInArrow(merge, REQUESTS)
     found = _resolved(merged, widths, level + 1, more).select(F.shiftright("shard", width).alias("above"), F.col("block").alias("whole"), "shard", "kind", "counts", "n", "types")
-    return stage(requests.groupBy("shard", "of").cogroup(found.groupBy("above", "whole")).applyInArrow(fill, ANSWERS), "lm-answers")
+    asked, told = _dealt(requests, groups, "shard", "of").groupBy("shard", "of"), _dealt(found, groups, "above", "whole").groupBy("above", "whole")
+    return stage(asked.cogroup(told).applyInArrow(fill, ANSWERS), "lm-answers")
 
 
 def _widths(bits: int) -> list[int]:
@@ -272,7 +279,7 @@ def _cells(pair: np.ndarray, context: np.ndarray, word: np.ndarray, n: int, type
 FACTS = "block long, docs binary, missing binary, sizes binary, train binary, words binary, pairs binary, cells binary"
 
 
-def _facts(coded: DataFrame, answers: DataFrame, n: int, types: int) -> DataFrame:
+def _facts(coded: DataFrame, answers: DataFrame, blocks: int, n: int, types: int) -> DataFrame:
     """Of each block, the counts of each token and its pair, and the cells of its training tokens."""
 
     def run(key, left, right):
@@ -289,7 +296,8 @@ def _facts(coded: DataFrame, answers: DataFrame, n: int, types: int) -> DataFram
         cells = [codes.astype("<u4"), np.bincount(back, minlength=len(codes)).astype("<u4"), np.bincount(back, p2, len(codes)).astype("<f4"), np.bincount(back, p1, len(codes)).astype("<f4")]
         return pa.table({**{c: [row[c]] for c in ("block", "docs", "missing", "sizes", "train")}, "words": [_narrow(words)], "pairs": [_narrow(pairs)], "cells": [b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 4).T).tobytes() for c in cells)]}, schema=pa.schema([("block", pa.int64()), *((c, pa.binary()) for c in ("docs", "missing", "sizes", "train", "words", "pairs", "cells"))]))
 
-    return coded.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, FACTS)
+    both = (_dealt(df, blocks, "block").groupBy("block") for df in (coded, answers))
+    return next(both).cogroup(next(both)).applyInArrow(run, FACTS)
 
 
 def _cell_rows(facts: DataFrame) -> DataFrame:
@@ -345,7 +353,7 @@ def score(docs: DataFrame, *, block_tokens: int = BLOCK_TOKENS, shard_tokens: in
     answers = _resolved(_requests(coded, widths[0]), widths, 0, size["blocks"])
     sums = answers.agg(F.sum("n").alias("n"), F.sum("types").alias("types")).first()
     n, types = sums["n"] or 0, sums["types"] or 0
-    facts = stage(_facts(coded, answers, n, types), "lm-facts")
+    facts = stage(_facts(coded, answers, size["blocks"], n, types), "lm-facts")
     weights = learn([tuple(r) for r in _cell_rows(facts).collect()], types)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
