@@ -107,22 +107,38 @@ class Forest:
         return np.where(hit, found >> _BITS, _NONE), found & _MASK
 
     def merge(self, words: list[list[int]]) -> list[list[int]]:
-        out: list[list[int]] = [[]] * len(words)
-        least = 1
+        """Of each list of ids, what is left of it when all is merged."""
+        size = np.array([len(w) for w in words], dtype=np.int64)
+        flat, size = self.merge_flat(np.fromiter((x for w in words for x in w), dtype=np.int64, count=int(size.sum())), size)
+        flat, ends = flat.tolist(), np.cumsum(size).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def merge_flat(self, ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same of lists that lie side by side, of these lengths; longer ones than the widest tree stay as they are."""
+        start = np.cumsum(size) - size
+        length, found, least = size.copy(), [], 1
         for width in self.WIDTHS:
-            rows = [i for i, w in enumerate(words) if least <= len(w) <= width]
+            rows = np.flatnonzero((size >= least) & (size <= width))
             least = width + 1
             for at in range(0, len(rows), 1 << 14):
                 some = rows[at : at + (1 << 14)]
-                for i, ids in zip(some, self._merge([words[i] for i in some], width), strict=True):
-                    out[i] = ids
-        return out
-
-    def _merge(self, words: list[list[int]], width: int) -> list[list[int]]:
-        n, size = len(words), np.array([len(w) for w in words])
-        inside = np.arange(width)[None, :] < size[:, None]
-        ids = np.full((n, width + 1), _MASK, dtype=np.int64)  # _MASK is no token: pairs with it are never mergeable
-        ids[:, :width][inside] = np.fromiter((x for w in words for x in w), dtype=np.int64, count=int(size.sum()))
+                inside = np.arange(width)[None, :] < size[some, None]
+                table = np.full((len(some), width + 1), _MASK, dtype=np.int64)  # _MASK is no token: its pairs never merge
+                table[:, :width][inside] = ids[(start[some, None] + np.arange(width))[inside]]
+                keep = self._merge(table, width) & inside
+                length[some] = keep.sum(axis=1)
+                found.append((some, table[:, :width][keep]))
+        rows = np.flatnonzero(size >= least)
+        if len(rows):
+            found.append((rows, ids[_ranges(start[rows], size[rows])]))
+        out, to = np.empty(int(length.sum()), np.int64), np.cumsum(length) - length
+        for some, part in found:
+            out[_ranges(to[some], length[some])] = part
+        return out, length
+
+    def _merge(self, ids: np.ndarray, width: int) -> np.ndarray:
+        """Merges in place; returns which places still have an id."""
+        n = len(ids)
         rank, new = self.look(ids[:, :-1], ids[:, 1:])
         tree = np.full((n, 2 * width), _NONE, dtype=np.int64)
         tree[:, width:] = np.where(rank < _NONE, rank * width + np.arange(width), _NONE)
@@ -155,9 +171,12 @@ class Forest:
                 while node.size and node[0] >= 1:  # all leaves are at one depth
                     tree[r, node] = np.minimum(tree[r, 2 * node], tree[r, 2 * node + 1])
                     node = node >> 1
-        keep = (ids[:, :width] >= 0) & inside
-        flat, ends = ids[:, :width][keep].tolist(), np.cumsum(keep.sum(axis=1)).tolist()
-        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        return ids[:, :width] >= 0
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of the given ranges, one range after the other."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
 
 
 def byte_letters() -> list[str]:
@@ -176,7 +195,7 @@ class SegmentTreeBPE:
     """An encoder and decoder for a tokenizer file in JSON with word ends."""
 
     #: Letters of which libraries may think differently, and controls that only Python takes for white space.
-    _ODD = re.compile("[\x1c-\x1f\u0250-\U0010ffff]")
+    _ODD = re.compile("[\x1c-\x1f\u0250-\U0010ffff" + "".join(c for c in map(chr, range(0x250)) if max(c.lower()) > "\u024f") + "]")
     _SPACED = re.compile("[\x1c-\x1f]")
 
     def __init__(self, path: str):
@@ -202,7 +221,9 @@ class SegmentTreeBPE:
         self.inner = [vocab.get(x) for x in letters]
         self.last = [vocab.get(x + self.end) for x in letters]
         self.of_letter = {x: b for b, x in enumerate(letters)}
-        self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+        self.complete = None not in self.inner and None not in self.last
+        self.inner_ids, self.last_ids = (np.array([x or 0 for x in some], dtype=np.int64) for some in (self.inner, self.last))
+        self.marked = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+|\n").findall
         self.at_added = re.compile("|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True)))
         library = Tokenizer.from_file(path)
         self.normalize, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
@@ -213,16 +234,40 @@ class SegmentTreeBPE:
         ids.append(self.last[raw[-1]])
         return [x for x in ids if x is not None]
 
-    def _pieces(self, text: str) -> list[bytes]:
-        """The pieces inside which merges happen."""
-        if not self._ODD.search(text):
-            return [x.encode() for x in self.pieces(text.lower())]
-        of = self.of_letter  # libraries may think differently of these letters: split by the library itself
-        return [bytes(of[c] for c in x) for x, _ in self.split(self.normalize(text))]
-
     def _words(self, words: list[str]) -> list[bytes]:
         """The ids of words, as 32-bit integers. A word may be any text; white space in it only separates pieces."""
-        split = [self._pieces(w) for w in words]
+        plain = [not self._ODD.search(w) and self.complete for w in words]
+        easy = iter(self._plain_words([w for w, p in zip(words, plain, strict=True) if p]))
+        odd = iter(self._odd_words([w for w, p in zip(words, plain, strict=True) if not p]))
+        return [next(easy) if p else next(odd) for p in plain]
+
+    def _plain_words(self, words: list[str]) -> list[bytes]:
+        """Of words without white space and odd letters, all at once: a newline ends each."""
+        if not words:
+            return []
+        found = self.marked("\n".join([*words, ""]).lower())
+        number = {x: i for i, x in enumerate(dict.fromkeys(found))}
+        at = np.array(list(map(number.__getitem__, found)), dtype=np.int64)
+        pieces = [x.encode() for x in number]
+        raw, size = np.frombuffer(b"".join(pieces), np.uint8), np.array(list(map(len, pieces)), dtype=np.int64)
+        ids, ends = self.inner_ids[raw], np.cumsum(size)
+        ids[ends - 1] = self.last_ids[raw[ends - 1]]
+        newline = number["\n"]
+        flat, length = self.forest.merge_flat(ids, size)
+        if (size > Forest.WIDTHS[-1]).any():
+            each = np.split(flat, np.cumsum(length)[:-1])
+            for i in np.flatnonzero(size > Forest.WIDTHS[-1]).tolist():
+                each[i] = np.array(merge(each[i].tolist(), self.pairs), dtype=np.int64)
+            flat, length = np.concatenate(each), np.array(list(map(len, each)), dtype=np.int64)
+        start, length = np.cumsum(length) - length, np.where(np.arange(len(length)) == newline, 0, length)
+        out = flat[_ranges(start[at], length[at])].astype("<u4").tobytes()
+        ends = (4 * np.cumsum(length[at])[at == newline]).tolist()
+        return [out[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def _odd_words(self, words: list[str]) -> list[bytes]:
+        """Of any words: libraries may think differently of their letters, so that the library itself splits them."""
+        of = self.of_letter
+        split = [[bytes(of[c] for c in x) for x, _ in self.split(self.normalize(w))] for w in words]
         some = dict.fromkeys(x for w in split for x in w)
         symbols = [self._symbols(x) for x in some]
         ids = self.forest.merge(symbols)
