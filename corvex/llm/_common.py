@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -55,6 +56,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Frees the disks of shuffles that no plan refers to any more, as after ``stage`` and one more job.
+
+    Executors drop such files when the driver's JVM has collected the plans; left alone, that is whenever its heap is full.
+    The last job's plan is still referred to.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def slices(batch: pa.RecordBatch, step: int = STEP, most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """batch in parts of at most ``step`` rows, and of at most ``most`` bytes of text unless a row alone has more."""
     if batch.nbytes <= most:

@@ -29,11 +29,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvex.llm._common import partitions_for, slices, stage, utf8
+from corvex.llm._common import partitions_for, release, slices, stage, utf8
 
 FOLDS, HELD_OUT = 5, 1
 BLOCK_TOKENS = 1 << 19
@@ -62,25 +63,30 @@ def is_held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % FOLDS == HELD_OUT
 
 
+_squeeze = zstandard.ZstdCompressor(level=1).compress  # the planes' lesser ones don't yield to what shuffles use
+_expand = zstandard.ZstdDecompressor().decompress
+
+
 def _narrow(x: np.ndarray) -> bytes:
-    """An array of counts in the narrowest unsigned type, which its first byte tells, byte plane by byte plane."""
+    """An array of counts in the narrowest unsigned type, which its first byte tells, byte plane by byte plane, compressed."""
     top = int(x.max()) if x.size else 0
     size = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
-    return bytes([size]) + np.ascontiguousarray(x.astype(f"<u{size}").view(np.uint8).reshape(-1, size).T).tobytes()
+    return _squeeze(bytes([size]) + np.ascontiguousarray(x.astype(f"<u{size}").view(np.uint8).reshape(-1, size).T).tobytes())
 
 
 def _wide(raw: bytes) -> np.ndarray:
+    raw = _expand(raw)
     planes = np.frombuffer(raw, np.uint8, offset=1).reshape(raw[0], -1)
     return np.ascontiguousarray(planes.T).view(f"<u{raw[0]}").ravel().astype(np.int64)
 
 
 def _pack(sorted_: np.ndarray) -> bytes:
     """Sorted hashes as differences, byte plane by byte plane, so that the high planes compress."""
-    return np.ascontiguousarray(np.diff(sorted_, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes()
+    return _squeeze(np.ascontiguousarray(np.diff(sorted_, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
 def _unpack(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(raw, np.uint8).reshape(8, -1)
+    planes = np.frombuffer(_expand(raw), np.uint8).reshape(8, -1)
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
@@ -353,8 +359,10 @@ def score(docs: DataFrame, *, block_tokens: int = BLOCK_TOKENS, shard_tokens: in
     answers = _resolved(_requests(coded, widths[0]), widths, 0, size["blocks"])
     sums = answers.agg(F.sum("n").alias("n"), F.sum("types").alias("types")).first()
     n, types = sums["n"] or 0, sums["types"] or 0
+    release(docs.sparkSession)  # the requests have been answered
     facts = stage(_facts(coded, answers, size["blocks"], n, types), "lm-facts")
     weights = learn([tuple(r) for r in _cell_rows(facts).collect()], types)
+    release(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
