@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from corvex.config import GeneralError, IndexConfig, QueryError
 from corvex.functions.highlight import highlight
 from corvex.operators import build
-from corvex.operators.search import any_of, search, top
+from corvex.operators.search import of_pairs, search, top
 from corvex.plans.planner import plan
 from corvex.sources.files import Files
 from corvex.sources.loaders import numbered
@@ -243,7 +243,7 @@ class SearchIndex:
         pairs = plan(query, self.config, t.term_stats).needed()
         old = t.hot
         pairs |= old[0] if old else set()
-        rows = t.postings.filter(any_of(sorted(pairs))).persist()
+        rows = of_pairs(t.postings, pairs).persist()
         n = rows.count()
         t.hot = (frozenset(pairs), rows)
         if old:

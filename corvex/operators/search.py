@@ -15,6 +15,9 @@ from corvex.operators.build import Tables
 from corvex.plans import planner
 from corvex.plans.planner import Leaf, Plan
 
+#: Terms of a query beyond which they are joined as a table, and no longer are in its expressions.
+MANY = 64
+
 
 def _follows(at: Column, slop: int):
     return lambda y: F.exists(at, lambda x: (y > x) & (y <= x + slop))
@@ -42,16 +45,51 @@ def any_of(pairs: list[tuple[str, str]]) -> Column:
     return out
 
 
+def _range(pairs) -> Column:
+    """A condition that rows of the pairs fulfil, and that Parquet answers by its statistics."""
+    by_field: dict[str, list[str]] = {}
+    for name, term in pairs:
+        by_field.setdefault(name, []).append(term)
+    out = F.lit(False)
+    for name, own in by_field.items():
+        out = out | ((F.col("field") == name) & F.col("term").between(min(own), max(own)))
+    return out
+
+
+def of_pairs(postings: DataFrame, pairs: set[tuple[str, str]]) -> DataFrame:
+    """The postings of the pairs; many pairs are a table that is joined, as no expression may grow with them."""
+    if len(pairs) <= MANY:
+        return postings.filter(any_of(sorted(pairs)))
+    known = postings.sparkSession.createDataFrame(sorted(pairs), "field string, term string")
+    return postings.filter(_range(pairs)).join(F.broadcast(known), ["field", "term"], "left_semi")
+
+
+def _hits_of_many(t: Tables, p: Plan, source: DataFrame, scored: bool) -> tuple[DataFrame, list[Column], list[Column]]:
+    """The postings of a query with very many terms, the aggregates of its score, and whether a posting is of each leaf."""
+    weights = planner.weights(p, t.max_id) if scored else {}
+    needed, of = p.needed(), {}
+    for i, leaf in enumerate(p.leaves):
+        for term in leaf.terms:
+            of.setdefault((leaf.field, term), []).append(i)
+    rows = [(name, term, weights.get((name, term)), t.averages.get(name) or 1.0, of[name, term]) for name, term in sorted(needed)]
+    known = t.docs.sparkSession.createDataFrame(rows, "field string, term string, _w double, _average double, _leaves array<int>")
+    hits = source.filter(_range(needed)).join(F.broadcast(known), ["field", "term"])
+    tf = (K1 + 1) * F.col("tf") / (K1 * ((1 - B) + B * F.col("w_d") / F.col("_average")) + F.col("tf"))
+    score = [F.sum(F.coalesce(tf * F.col("_w"), F.lit(0.0))).alias("score"), F.max(F.col("_w").isNotNull()).alias("scorable")] if scored else []
+    return hits, score, [F.array_contains("_leaves", i) for i in range(len(p.leaves))]
+
+
 def _hits(t: Tables, p: Plan, scored: bool) -> tuple[DataFrame, list[Column]]:
     """One row for each document that has any of the terms, with the score, and the Column of each leaf's flag."""
     needed = p.needed()
     source = t.hot[1] if t.hot and needed <= t.hot[0] else t.postings
-    hits = source.filter(any_of(sorted(needed)))
+    many = len(needed) > MANY
+    hits, score_of_many, of_leaf = _hits_of_many(t, p, source, scored) if many else (of_pairs(source, needed), [], [])
     aggs: list[Column] = []
     flags: list[Column] = []
     for i, leaf in enumerate(p.leaves):
         if leaf.slop is None or len(leaf.terms) == 1:
-            here = (F.col("field") == leaf.field) & F.col("term").isin(list(leaf.terms)) if leaf.terms else F.lit(False)
+            here = of_leaf[i] if many else (F.col("field") == leaf.field) & F.col("term").isin(list(leaf.terms)) if leaf.terms else F.lit(False)
             aggs.append(F.max(here).alias(f"l{i}"))
             flags.append(F.coalesce(f"l{i}", F.lit(False)))
             continue
@@ -64,7 +102,9 @@ def _hits(t: Tables, p: Plan, scored: bool) -> tuple[DataFrame, list[Column]]:
             there = there & F.col(name).isNotNull()
         ordered = in_order([F.col(names[term]) for term in leaf.terms], leaf.slop) if t.config.proximity_index else F.lit(True)
         flags.append(F.when(there, ordered).otherwise(False))
-    if scored:
+    if many:
+        aggs += score_of_many
+    elif scored:
         score, weights = F.lit(0.0), planner.weights(p, t.max_id)
         for (name, term), w in weights.items():
             average = t.averages.get(name) or 1.0

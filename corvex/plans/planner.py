@@ -38,15 +38,16 @@ class Plan:
         return {(x.field, t) for x in self.leaves for t in x.terms}
 
 
-def _wild_terms(stats: DataFrame, name: str, pattern: str, config: IndexConfig) -> list[str]:
+def _wild_terms(stats: DataFrame, name: str, pattern: str, config: IndexConfig) -> dict[str, int]:
+    """The terms of a pattern, with their document frequencies."""
     prefix = pattern.replace("?", "*").split("*")[0]
     if len(prefix) < config.min_wildcard_length:
         raise QueryError(config.message("wildcard_length", n=config.min_wildcard_length))
     like = pattern.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_").replace("*", "%").replace("?", "_")
-    found = stats.filter((F.col("field") == name) & F.startswith("term", F.lit(prefix)) & F.col("term").like(like)).select("term").limit(config.max_wildcard_term_expansion + 1).collect()
+    found = stats.filter((F.col("field") == name) & F.startswith("term", F.lit(prefix)) & F.col("term").like(like)).select("term", "df").limit(config.max_wildcard_term_expansion + 1).collect()
     if len(found) > config.max_wildcard_term_expansion:
         raise QueryError(config.message("wildcard_expansion"))
-    return sorted(r["term"] for r in found)
+    return {r["term"]: r["df"] for r in sorted(found)}
 
 
 def _all_terms(clauses: tuple[Clause, ...], name: str, config: IndexConfig):
@@ -131,8 +132,9 @@ def _bind(clauses, name, out: Plan, config, stats, scored: bool):
                 if found and counts:
                     out.df[own, b.term, "idf"] = sum(found) // len(found)
             else:
-                terms = tuple(_wild_terms(stats, own, b.pattern, config))
-                out.df |= frequencies(stats, {(own, t) for t in terms})
+                found = _wild_terms(stats, own, b.pattern, config)
+                out.df |= {(own, t): n for t, n in found.items()}
+                terms = tuple(found)
             leaf = Leaf(own, tuple(terms))
         if leaf not in out.leaves:
             out.leaves.append(leaf)
