@@ -130,15 +130,18 @@ class SearchIndex:
         return n
 
     def _commit(self, parts: list[DataFrame]) -> int:
-        """Writes a batch: numbered documents first, then their terms, from which all tables are made."""
+        """Writes a batch: the terms of numbered documents first, from which all tables are made.
+
+        Texts are shuffled once, by ranges of their keys, in which equal keys meet and get their order.
+        """
         m, store = self.store.manifest(), self.store
         rows = None
         for i, part in enumerate(parts):
             part = part.withColumn("_seq", F.struct(F.lit(i), F.monotonically_increasing_id()))
             rows = part if rows is None else rows.unionByName(part)
         fields = list(self.config.doc_fields)
-        last = rows.groupBy("_key").agg(F.max_by(F.struct(*fields), "_seq").alias("d")).select("_key", *(F.col("d")[f].alias(f) for f in fields))
-        docs = numbered(last, ["_key"], "doc_id", m.max_id, store.folder("staging")).withColumn("doc_key", F.col("_key").cast("string"))
+        last = rows.repartitionByRange("_key").groupBy("_key").agg(F.max_by(F.struct(*fields), "_seq").alias("d")).select("_key", *(F.col("d")[f].alias(f) for f in fields))
+        docs = numbered(last, ["_key"], "doc_id", m.max_id, store.folder("staging"), dealt=True, then=lambda rows: build.staged(rows, self.config)).withColumn("doc_key", F.col("_key").cast("string"))
         found = docs.agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("top")).first()
         if not found["n"]:
             store.clear_staging()
@@ -151,11 +154,7 @@ class SearchIndex:
             if not old.isEmpty():
                 graves = (*graves, grave)
                 sums = _less(sums, store.sums_of(m, old))
-        folder = store.folder("staging")
-        analysed = build.field_terms(docs, self.config)
-        analysed.write.parquet(folder)
-        analysed = self.spark.read.schema(analysed.schema).parquet(folder)
-        batch, n, own = store.write_batch(docs.select("doc_id", "doc_key"), build.postings(analysed, self.config.proximity_index), build.weights(analysed))
+        batch, n, own = store.write_batch(docs.select("doc_id", "doc_key"), build.postings(docs, self.config), build.weights(docs, self.config))
         sums = {f: sums.get(f, 0.0) + own.get(f, 0.0) for f in {*sums, *own}}
         averages = {f: s / found["top"] for f, s in sums.items()}
         new = Manifest(**{**m.__dict__, "max_id": found["top"], "batches": (*m.batches, batch), "tombstones": graves, "averages": averages, "sums": sums, "sizes": {**m.sizes, batch: n}})
@@ -188,9 +187,7 @@ class SearchIndex:
     def optimize(self) -> None:
         """Rewrites all batches as one, of live documents alone; statistics forget the removed. Ids stay."""
         m = self.store.manifest()
-        live = self.store.live(m)
-        keep = lambda df: df.join(live.select("doc_id"), "doc_id", "left_semi")
-        batch, n, sums = self.store.write_batch(live, keep(self.store.postings(m)).select(*build.POSTINGS.fieldNames()), keep(self.store.doc_weights(m)).select(*build.WEIGHTS.fieldNames()))
+        batch, n, sums = self.store.rewritten(m, dead=self.store.dead(m) if m.tombstones else None)
         averages = {f: s / m.max_id for f, s in sums.items()} if m.max_id else {}
         self.store.publish(m, batches=(batch,), tombstones=(), averages=averages, sums=sums, sizes={batch: n})
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,14 +22,16 @@ def jdbc(spark: SparkSession, url: str, name: str, *, key: str | None = None, lo
     return reader.load()
 
 
-def numbered(rows: DataFrame, order: list[str], name: str = "doc_id", start: int = 0, folder: str | None = None) -> DataFrame:
+def numbered(rows: DataFrame, order: list[str], name: str = "doc_id", start: int = 0, folder: str | None = None, *, dealt: bool = False, then: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """rows with the numbers start + 1, start + 2, ... in the given order, without gathering them in one task.
 
     Rows are range-partitioned, sorted and written to a folder with their places, so that the numbers are the same each
     time that the result is evaluated, also if executors are lost. Only each partition's size comes to the driver.
+    dealt: they are partitioned by ranges of the order already. then: what is done to the rows before they are written.
     """
     spark, folder = rows.sparkSession, folder or scratch(rows.sparkSession, "numbered")
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
+    placed = (rows if dealt else rows.repartitionByRange(*order)).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
+    placed = then(placed) if then else placed
     placed.write.parquet(folder)
     placed = spark.read.schema(placed.schema).parquet(folder).withColumn("_part", F.shiftright("_place", 33))
     at, firsts = start + 1, []

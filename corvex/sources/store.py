@@ -2,8 +2,8 @@
 
 A commit writes its batch of postings, weights and statistics to new folders and then publishes the next manifest,
 which lists the folders that count. Readers take the newest manifest, so they see a commit whole or not at all;
-a removed document is a row in a tombstone folder. Postings are partitioned by field and sorted by term, so that a
-search reads the row groups of its terms alone.
+a removed document is a row in a tombstone folder. Postings are partitioned by field and are in runs sorted by term, so
+that a search reads the pages of its terms alone.
 """
 
 from __future__ import annotations
@@ -16,13 +16,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvex.config import SCHEMA_VERSION, GeneralError, IndexConfig
-from corvex.operators.build import DOCS, POSTINGS, STATS, WEIGHTS, Tables
+from corvex.operators.build import DOCS, POSTINGS, STATS, WEIGHTS, Tables, resorted
 from corvex.sources.files import Files
 
 TOMBSTONES = "doc_id long"
 MASK = "doc_id long"
 #: Ids of a chunk, as bits: the postings of a term in one chunk are in one file.
 CHUNK_BITS = 20
+#: Ids that each executor may hold in memory; more are joined by a shuffle.
+BROADCAST_IDS = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -150,22 +152,40 @@ class Store:
     def tables(self, m: Manifest) -> Tables:
         return Tables(IndexConfig.from_json(m.config), self.live(m), self.postings(m), self.term_stats(m), self.doc_weights(m), m.averages, m.max_id)
 
-    def write_batch(self, docs: DataFrame, posted: DataFrame, weights: DataFrame) -> tuple[str, int, dict[str, float]]:
-        """Writes the tables of documents; they count once a manifest lists the folder.
+    def write_batch(self, docs: DataFrame, posted: dict[str, DataFrame], weights: DataFrame) -> tuple[str, int, dict[str, float]]:
+        """Writes the tables of documents; they count once a manifest lists the folder. posted: the postings of each field.
 
-        Returns the folder, its number of documents and the sum of weights of each field. Postings are dealt by field, term
-        and chunk of ids, so that of a term in a third of all documents no task has more than a chunk.
+        Returns the folder, its number of documents and the sum of weights of each field.
         """
         b = self.folder("batches")
         docs.write.parquet(f"{b}/docs")
         weights.write.partitionBy("field").parquet(f"{b}/weights")
-        chunk = F.shiftright("doc_id", CHUNK_BITS)
-        posted.repartition("field", "term", chunk).sortWithinPartitions("field", "term", "doc_id").write.partitionBy("field").parquet(f"{b}/postings")
+        names = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+        for name, rows in posted.items():  # a folder each, so that Spark doesn't sort the rows by field
+            rows.write.parquet(f"{b}/postings/field={names.escapePathName(name)}")
         written = self.spark.read.schema(POSTINGS).parquet(f"{b}/postings")
         stats = written.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
         stats.sortWithinPartitions("field", "term").write.partitionBy("field").parquet(f"{b}/stats")
         return b, self.spark.read.schema(DOCS).parquet(f"{b}/docs").count(), self._sums(self._union(WEIGHTS, [f"{b}/weights"]))
 
+    def rewritten(self, m: Manifest, dead: DataFrame | None = None) -> tuple[str, int, dict[str, float]]:
+        """Writes the batches of m as one, without dead documents.
+
+        Each task reads a part of the files and writes it in longer runs. Only where the files are too few for the
+        cores, postings are dealt by term and chunk of ids first, so that no task has more than a chunk of a term.
+        """
+        if dead is not None and dead.count() <= BROADCAST_IDS:
+            dead = F.broadcast(dead)
+        keep = lambda df: df if dead is None else df.join(dead, "doc_id", "left_anti")
+        cores = min(self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        posted = {}
+        for name in IndexConfig.from_json(m.config).doc_fields:
+            found = self.postings(m).filter(F.col("field") == name)
+            few = found.rdd.getNumPartitions() < cores
+            found = keep(found)
+            posted[name] = resorted(found.repartition("term", F.shiftright("doc_id", CHUNK_BITS)) if few else found)
+        return self.write_batch(keep(self.all_docs(m)).select(*DOCS.fieldNames()), posted, keep(self.doc_weights(m)).select(*WEIGHTS.fieldNames()))
+
     def _sums(self, weights: DataFrame) -> dict[str, float]:
         return {r["field"]: r["s"] for r in weights.groupBy("field").agg(F.sum("w_d").alias("s")).collect()}
 
@@ -190,6 +210,6 @@ class Store:
             return m
         some = sorted(m.batches, key=lambda b: m.sizes.get(b, 1 << 62))[: max(2, most // 2 + 1)]
         part = replace(m, batches=tuple(some))
-        b, n, _ = self.write_batch(self.all_docs(part), self.postings(part), self.doc_weights(part))
+        b, n, _ = self.rewritten(part)
         kept = [x for x in m.batches if x not in some]
         return replace(m, batches=(*kept, b), sizes={**{x: m.sizes[x] for x in kept if x in m.sizes}, b: n})

@@ -32,3 +32,23 @@ def test_a_wildcard_that_stands_for_very_many_terms(make, spark, monkeypatch):
     few = ix.search({"doc": "(wher1? -wher17) other"})
     monkeypatch.setattr(search, "MANY", 0)
     assert ix.search({"doc": "(wher1? -wher17) other"}) == pytest.approx(few) and len(few) > 0
+
+
+def test_postings_are_made_in_runs_without_a_shuffle(make, spark, monkeypatch):
+    monkeypatch.setattr(build, "RUN", 5)
+    rows = spark.createDataFrame([("a", "b a b"), ("b", None), ("c", "c b a c c d e f"), ("d", "a")], "doc_key string, doc string").coalesce(1)
+    config = IndexConfig("test", ("doc",))
+    docs = build.staged(rows.withColumn("doc_id", F.ascii("doc_key").cast("long")), config)
+    posted = build.postings(docs, config)["doc"]
+    assert "Exchange" not in posted._jdf.queryExecution().toString()
+    found = {(r["term"], r["doc_id"] - 96): (r["tf"], r["positions"]) for r in posted.collect()}
+    assert found == {("a", 1): (1, [2]), ("b", 1): (2, [1, 3]), ("a", 3): (1, [3]), ("b", 3): (1, [2]), ("c", 3): (3, [1, 4, 5]), ("d", 3): (1, [6]), ("e", 3): (1, [7]), ("f", 3): (1, [8]), ("a", 4): (1, [1])}
+
+
+def test_the_texts_of_a_commit_are_shuffled_once(make, spark, monkeypatch):
+    made = []
+    monkeypatch.setattr("corvex.index.numbered", lambda rows, *a, **b: made.append(rows._jdf.queryExecution().executedPlan().toString()) or numbered(rows, *a, **b))
+    from corvex.sources.loaders import numbered
+
+    make().add_table(spark.createDataFrame([("a", "x"), ("b", "y"), ("a", "z")], "doc_key string, doc string"))
+    assert made[0].count("Exchange ") == 1
