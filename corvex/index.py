@@ -318,7 +318,7 @@ class SearchIndex:
             raise GeneralError(f"there is no scoring method {method}; there is okapi")
         source = None
         if not self.config.proximity_index and self._source is not None:
-            source = self._source.select(F.col(self.config.key).cast("string").alias("doc_key"), *self.config.doc_fields).join(self.tables().docs, "doc_key").select("doc_id", *self.config.doc_fields)
+            source = self._source.select(F.col(self.config.key).cast("string").alias("doc_key"), *self.config.doc_fields)
         found, self.last_plan = search(self.tables(), query, masks=self._masks(masks), scored=scored, source=source)
         return top(found, k) if k is not None and scored else found
 

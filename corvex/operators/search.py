@@ -137,20 +137,23 @@ def search(t: Tables, query: dict[str, str], *, masks: list[tuple[DataFrame, boo
 
 
 def _by_text(rows: DataFrame, flags: list[Column], leaves: list[Leaf], source: DataFrame, t: Tables) -> tuple[DataFrame, list[Column]]:
-    """For an index without positions: phrases are looked for in the folded source text of their candidates.
+    """For an index without positions: phrases are looked for in the folded source text.
 
-    source: doc_id and the fields. With a ``phrase_threshold``, candidates beyond that number count unverified.
+    source: doc_key and the fields. What is shuffled is whether a text has a phrase, not the text. With a
+    ``phrase_threshold``, candidates beyond that number count unverified, and no text is read for them.
     """
-    kept = rows
-    texts = source.select("doc_id", *(fold(F.coalesce(F.col(f).cast("string"), F.lit("")), t.config.charset).alias(f"text_{f}") for f in {x.field for x in leaves if x.slop is not None}))
-    out = list(flags)
+    out, most, has = list(flags), t.config.phrase_threshold, {}
     for i, leaf in enumerate(leaves):
         if leaf.slop is None or len(leaf.terms) == 1:
             continue
-        most = t.config.phrase_threshold
-        if most is None or kept.filter(flags[i]).limit(most + 1).count() <= most:
-            out[i] = flags[i] & F.contains(F.coalesce(f"text_{leaf.field}", F.lit("")), F.lit(" ".join(fold_word(leaf.text, t.config.charset).split())))
-    return kept.join(texts, "doc_id", "left"), out
+        if most is None or rows.filter(flags[i]).limit(most + 1).count() <= most:
+            text = fold(F.coalesce(F.col(leaf.field).cast("string"), F.lit("")), t.config.charset)
+            has[f"has{i}"] = F.contains(text, F.lit(" ".join(fold_word(leaf.text, t.config.charset).split())))
+            out[i] = flags[i] & F.coalesce(f"has{i}", F.lit(False))
+    if not has:
+        return rows, out
+    texts = source.select("doc_key", *(c.alias(name) for name, c in has.items())).filter(" OR ".join(has))
+    return rows.join(texts.join(t.docs, "doc_key").drop("doc_key"), "doc_id", "left"), out
 
 
 def top(found: DataFrame, k: int) -> DataFrame:

@@ -52,3 +52,12 @@ def test_the_texts_of_a_commit_are_shuffled_once(make, spark, monkeypatch):
 
     make().add_table(spark.createDataFrame([("a", "x"), ("b", "y"), ("a", "z")], "doc_key string, doc string"))
     assert made[0].count("Exchange ") == 1
+
+
+def test_texts_are_not_read_for_phrases_that_count_unverified(make, spark, tmp_path):
+    spark.createDataFrame([("a", "fair winds"), ("b", "winds fair")], "doc_key string, doc string").write.parquet(f"{tmp_path}/source")
+    ix, source = make(proximity_index=False, phrase_threshold=1), spark.read.parquet(f"{tmp_path}/source")
+    ix.set_source(source)
+    ix.add_table(source)
+    found = ix.find({"doc": '"fair winds"'}, scored=False)
+    assert found.count() == 2 and not any("/source/" in f for f in found.inputFiles())
