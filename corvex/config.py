@@ -52,6 +52,7 @@ class IndexConfig:
     max_batches: int = 16
     result_threshold: int = 5000
     decode_html_entities: bool = True
+    strict_entities: bool = False
     scoring_method: str = "okapi"
     update_commit_interval: int = 20_000
     doc_key_type: str = "string"

@@ -46,13 +46,17 @@ def fold_word(word: str, charset: str = "iso-8859-1") -> str:
     return word.lower()
 
 
-def decode_entities(text: Column) -> Column:
-    """text with HTML entities decoded, each once; names are those of HTML 4, and unknown ones stay."""
+def decode_entities(text: Column, strict: bool = False) -> Column:
+    """text with HTML entities decoded, each once; names are those of HTML 4, and unknown ones stay.
+
+    strict: so do those without their semicolon.
+    """
+    entity = ENTITY.removesuffix("?") if strict else ENTITY
     names = F.create_map(*[F.lit(x) for name, code in name2codepoint.items() for x in (name, chr(code))])
 
     def piece(x: Column) -> Column:
-        name = F.regexp_extract(x, ENTITY, 1)
-        whole = F.regexp_extract(x, ENTITY, 0)
+        name = F.regexp_extract(x, entity, 1)
+        whole = F.regexp_extract(x, entity, 0)
         number = F.when(F.lower(F.substring(name, 2, 1)) == "x", F.try_to_number(F.conv(F.substring(name, 3, 8), 16, 10), F.lit("9999999999"))).otherwise(F.try_to_number(F.substring(name, 2, 10), F.lit("9999999999"))).cast("long")
         valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
         letter = F.when(F.startswith(name, F.lit("#")), F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))).otherwise(F.try_element_at(names, name))
@@ -66,7 +70,7 @@ def clean(text: Column, config: IndexConfig) -> Column:
     out = F.coalesce(text.cast("string"), F.lit(""))
     out = F.when(F.contains(out, F.lit("<")), F.regexp_replace(out, TAG, " ")).otherwise(out)
     if config.decode_html_entities:
-        out = decode_entities(out)
+        out = decode_entities(out, config.strict_entities)
     return fold(out, config.charset)
 
 

@@ -61,3 +61,9 @@ def test_texts_are_not_read_for_phrases_that_count_unverified(make, spark, tmp_p
     ix.add_table(source)
     found = ix.find({"doc": '"fair winds"'}, scored=False)
     assert found.count() == 2 and not any("/source/" in f for f in found.inputFiles())
+
+
+def test_entities_without_a_semicolon(spark):
+    df = spark.createDataFrame([("a&ampb &lt;c &amp;amp d&copy",)], "t string")
+    got = [df.select(terms(F.col("t"), IndexConfig("p", ("t",), strict_entities=strict))).first()[0] for strict in (True, False)]
+    assert got == [["a", "ampb", "c", "amp", "d", "copy"], ["a", "ampb", "c", "amp", "d"]]
