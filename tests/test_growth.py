@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import subprocess
 import sys
+from pathlib import Path
 
+import pyspark
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,3 +70,25 @@ def test_entities_without_a_semicolon(spark):
     df = spark.createDataFrame([("a&ampb &lt;c &amp;amp d&copy",)], "t string")
     got = [df.select(terms(F.col("t"), IndexConfig("p", ("t",), strict_entities=strict))).first()[0] for strict in (True, False)]
     assert got == [["a", "ampb", "c", "amp", "d", "copy"], ["a", "ampb", "c", "amp", "d"]]
+
+
+_CLUSTER = """
+from pyspark.sql import SparkSession
+s = SparkSession.builder.master("local-cluster[2,1,1024]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "{0}").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+from corvex.plans import registry
+print("rows", registry.QUERIES["database_search"](s, "/root/testdata/sf0.001").count())
+"""
+
+
+def test_an_embedded_database_is_the_drivers(tmp_path):
+    """Executors in JVMs of their own don't see it."""
+    env = {**os.environ, "PYTHONPATH": ROOT, "PYSPARK_PYTHON": sys.executable, "SPARK_LOCAL_IP": "127.0.0.1", "SPARK_SCALA_VERSION": "2.13"}
+    env.pop("PYSPARK_GATEWAY_PORT", None)
+    spark_home, home = Path(pyspark.__file__).parent, tmp_path / "home"
+    (home / "work").mkdir(parents=True)
+    for p in spark_home.iterdir():
+        if p.name != "work":
+            (home / p.name).symlink_to(p)
+    env["SPARK_HOME"] = str(home)
+    done = subprocess.run([sys.executable, "-c", _CLUSTER.format(tmp_path)], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=200)
+    assert "rows" in done.stdout, done.stderr[-3000:]
